@@ -1,0 +1,137 @@
+"""Problem 5: pairwise matches consolidated into groups.
+
+The graph is reduced before it is solved: vertices with one neighbour are
+stripped, chains of vertices with two neighbours are compressed to one edge by
+list ranking (pointer doubling), again and again while that still removes a
+fair share of the vertices.  What is left is solved by alternating large-star
+and small-star steps.  Removed vertices point to a vertex that stayed longer,
+so their labels come back by following pointers.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamarind.session import cut, table
+
+#: Reduction goes on while a round removes at least this share of the vertices.
+WORTHWHILE = 0.05
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    return edges.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("w").alias("n")), F.struct(F.col("w").alias("v"), F.col("u").alias("n")))).alias("e")).select("e.*")
+
+
+def _canonical(edges: DataFrame) -> DataFrame:
+    """Distinct undirected edges u < w without loops."""
+    return edges.where("u <> w").select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct()
+
+
+def _degrees(edges: DataFrame) -> DataFrame:
+    """Per vertex its degree and least and greatest neighbour; partly aggregated before the shuffle."""
+    return _both_ways(edges).groupBy("v").agg(F.count("*").alias("deg"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+
+
+def _strip_leaves(edges: DataFrame, deg: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Remove all vertices of degree one; of an edge on its own the greater end is the leaf."""
+    one = deg.where("deg = 1").select("v", F.col("lo").alias("parent"))
+    mutual = one.select(F.col("v").alias("parent"), F.col("parent").alias("v"), F.lit(True).alias("mutual"))
+    pointers = one.join(mutual, ["v", "parent"], "left").where("mutual is null or parent < v").select(F.col("v").alias("child"), "parent")
+    gone = pointers.select(F.least("child", "parent").alias("u"), F.greatest("child", "parent").alias("w"))
+    return pointers, edges.join(gone, ["u", "w"], "left_anti")
+
+
+def _compress_chains(edges: DataFrame, deg: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Replace maximal chains of inner vertices of degree two by one edge between their ends.
+
+    A list element is an inner vertex together with a direction; its successor is the next inner
+    vertex in that direction.  Doubling the successor ranks every element to the end of its chain
+    in logarithmically many steps.  A vertex of degree two that is less than both neighbours stays
+    as an end, so that every ring has one; it goes in a later round.
+    Returns the pointers to the greater-ranked end, the edges that stay, and the new edges.
+    """
+    inner = deg.where("deg = 2 and not (v < lo)").select("v", "lo", "hi")
+    steps = inner.select("v", F.explode(F.array(F.struct(F.col("lo").alias("back"), F.col("hi").alias("to")), F.struct(F.col("hi").alias("back"), F.col("lo").alias("to")))).alias("s")).select("v", "s.*")
+    # An element (v, back) walks on to (to, v) where `to` is an inner vertex, else it ends at `to`.
+    ends = inner.select(F.col("v").alias("to"), F.lit(True).alias("goes_on"))
+    state = cut(steps.join(ends, "to", "left").select("v", "back", F.col("to").alias("at"), F.col("v").alias("via"), F.coalesce("goes_on", F.lit(False)).alias("open"), F.lit(1).cast("long").alias("rank")))
+    while state.where("open").limit(1).count():
+        nxt = state.select(F.col("v").alias("at"), F.col("back").alias("via"), F.col("at").alias("at2"), F.col("via").alias("via2"), F.col("open").alias("open2"), F.col("rank").alias("rank2"))
+        done, more = state.where("not open"), state.where("open")
+        state = cut(done.unionByName(more.join(nxt, ["at", "via"]).select("v", "back", F.col("at2").alias("at"), F.col("via2").alias("via"), F.col("open2").alias("open"), (F.col("rank") + F.col("rank2")).alias("rank"))))
+    per = state.groupBy("v").agg(F.min(F.struct("rank", "at")).alias("near"), F.min("at").alias("a"), F.max("at").alias("b"), F.min("rank").alias("first"))
+    pointers = per.select(F.col("v").alias("child"), F.col("near.at").alias("parent"))
+    inner_v = inner.select(F.col("v"))
+    stays = edges.join(inner_v.withColumnRenamed("v", "u"), "u", "left_anti").join(inner_v.withColumnRenamed("v", "w"), "w", "left_anti").select("u", "w")
+    made = per.where("first = 1").select(F.col("a").alias("u"), F.col("b").alias("w"))
+    return pointers, stays, made
+
+
+def _star_labels(edges: DataFrame) -> DataFrame:
+    """``(v, label)`` with the least vertex of the component, by large-star and small-star steps."""
+    state, before = edges, None
+    while True:
+        # large-star: greater neighbours of each vertex to its least neighbour or itself
+        both = _both_ways(state)
+        least = both.groupBy("v").agg(F.least(F.min("n"), F.first("v")).alias("m"))
+        large = both.where("n > v").join(least, "v").select(F.col("n").alias("u"), F.col("m").alias("w"))
+        # small-star: smaller neighbours and itself to the least of them
+        down = _canonical(large).select(F.col("w").alias("v"), F.col("u").alias("n"))
+        low = down.groupBy("v").agg(F.min("n").alias("m"))
+        small = down.join(low, "v").select(F.col("n").alias("u"), F.col("m").alias("w")).unionByName(low.select(F.col("v").alias("u"), F.col("m").alias("w")))
+        state = cut(_canonical(small))
+        # Settled when every edge is (root, leaf) with roots that are no leaves: compare an order-free digest.
+        digest = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "w")), F.sum(F.hash("u", "w").cast("long"))).first()
+        if tuple(digest) == before:
+            return state.select(F.col("w").alias("v"), F.col("u").alias("label"))
+        before = tuple(digest)
+
+
+def connected_groups(edges: DataFrame, a: str = "record_a", b: str = "record_b") -> DataFrame:
+    """``(record_key, group_key)`` of every record of an edge with both ends.
+
+    ``group_key`` is the least key of the group in byte order.  Edges with a null or empty end tie
+    nothing; an edge to oneself makes a group of one; repeated and turned edges count once; other
+    columns are not read; an empty table gives an empty result.
+    """
+    whole = edges.select(F.col(a).alias("u"), F.col(b).alias("w")).where("u is not null and w is not null and u <> '' and w <> ''")
+    pairs = cut(whole.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct())
+    vertices = pairs.select(F.explode(F.array("u", "w")).alias("v")).distinct()
+    live, pointers = cut(pairs.where("u <> w")), []
+    left = None
+    while live.limit(1).count():
+        deg = cut(_degrees(live))
+        counts = deg.agg(F.count("*").alias("n"), F.count_if(F.expr("deg = 1")).alias("leaves"), F.count_if(F.expr("deg = 2 and not (v < lo)")).alias("chained")).first()
+        left = counts["n"]
+        if counts["leaves"] >= max(1, WORTHWHILE * left, counts["chained"]):
+            p, rest = _strip_leaves(live, deg)
+            p, live = cut(p), cut(rest)
+        elif counts["chained"] >= max(1, WORTHWHILE * left, counts["leaves"]):
+            p, stays, made = _compress_chains(live, deg)
+            p, live = cut(p), cut(_canonical(stays.unionByName(made)))
+        else:
+            break
+        pointers.append(p)
+    if live.limit(1).count():
+        pointers.append(cut(_star_labels(live).select(F.col("v").alias("child"), F.col("label").alias("parent"))))
+    if not pointers:
+        return vertices.select(F.col("v").alias("record_key"), F.col("v").alias("group_key"))
+    # Each pointer leads to a vertex that was removed in a later round: halve the ways until all reach a root.
+    up = reduce(DataFrame.unionByName, pointers)
+    rounds = len(pointers)
+    while rounds > 1:
+        far = up.select(F.col("child").alias("parent"), F.col("parent").alias("far"))
+        up = cut(up.join(far, "parent", "left").select("child", F.coalesce("far", "parent").alias("parent")))
+        rounds = (rounds + 1) // 2
+    # A root points to none, so it is not among the children; its group's least key may be any member.
+    rooted = vertices.join(up.withColumnRenamed("child", "v"), "v", "left").select("v", F.coalesce("parent", "v").alias("root"))
+    rooted = cut(rooted)
+    least = rooted.groupBy("root").agg(F.min("v").alias("group_key"))
+    return rooted.join(least, "root").select(F.col("v").alias("record_key"), "group_key")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_groups(table(spark, sf_dir, "cluster_edges"))
