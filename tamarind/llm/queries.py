@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tamarind.llm import leakage, lookalike, residue
+from tamarind.llm import gazetteer, language, leakage, lookalike, residue
 
 QUERIES = {
+    "p1_found": gazetteer.p1_found,
     "p3_found": lookalike.p3_found,
+    "p4_found": language.p4_found,
     "p9_found": leakage.p9_found,
     "p10_found": residue.p10_found,
 }
