@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tamarind.llm import gazetteer, language, leakage, lookalike, residue
+from tamarind.llm import gazetteer, language, leakage, lookalike, packing, personal, residue
 
 QUERIES = {
     "p1_found": gazetteer.p1_found,
+    "p2_found": personal.p2_found,
     "p3_found": lookalike.p3_found,
     "p4_found": language.p4_found,
+    "p8_packed": packing.p8_packed,
+    "p8_fill": packing.p8_fill,
     "p9_found": leakage.p9_found,
     "p10_found": residue.p10_found,
 }
