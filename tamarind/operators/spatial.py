@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.functions import geometry as g
+from tamarind.functions.frames import frame
 from tamarind.session import table
 
 #: Regions that one pass broadcasts; a larger gazetteer is worked off in passes over blocks of it.
@@ -119,7 +119,7 @@ def regions_of_points(points: DataFrame, regions: DataFrame, *, key: str, lat: s
             for b in batches:
                 index = index or RegionIndex(shared.value, near_m)
                 point, region, inside = index.find(b["_lng"].to_numpy(), b["_lat"].to_numpy())
-                yield pd.DataFrame({key: b[key].to_numpy()[point], "village_code": [index.codes[r] for r in region], "relation": np.where(inside == 1, "INSIDE", "NEAR")})
+                yield frame(**{key: b[key].to_numpy()[point]}, village_code=[index.codes[r] for r in region], relation=["INSIDE" if i else "NEAR" for i in inside])
 
         made = placed.mapInPandas(relate, f"`{key}` {kind}, village_code string, relation string")
         out = made if out is None else out.unionByName(made)

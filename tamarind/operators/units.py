@@ -5,11 +5,11 @@ from __future__ import annotations
 from fractions import Fraction
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.functions import quantity as q
+from tamarind.functions.frames import frame
 from tamarind.session import table
 
 SIZE_FIELDS = {"AREA": ("DM2", q.AREA, 100), "FRONTAGE": ("CM", q.LENGTH, 100), "DEPTH": ("CM", q.LENGTH, 100)}
@@ -64,7 +64,7 @@ def common_units(field, text, amount, currency, basis, thb, usd) -> tuple[str |
 def _convert_batches(batches):
     for x in batches:
         rows = [common_units(*(None if v is None or v != v else v for v in row)) for row in x[["field", "value_text", "amount", "currency", "basis", "thb", "usd"]].itertuples(index=False, name=None)]
-        yield pd.DataFrame({"claim_id": x["claim_id"], "unit": [r[0] for r in rows], "amount": pd.array([r[1] for r in rows], dtype="Int64")})
+        yield frame(claim_id=x["claim_id"].to_numpy(), unit=[r[0] for r in rows], amount=[r[1] for r in rows])
 
 
 def rates_by_day(fx: DataFrame) -> DataFrame:
