@@ -16,10 +16,10 @@ import unicodedata
 from collections import Counter, defaultdict
 
 import ahocorasick
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarind.functions.frames import frame
 from tamarind.session import table
 
 UNMATCHED = "UNMATCHED"
@@ -34,7 +34,7 @@ _LAO_FOLDS = [(re.compile(a), b) for a, b in (("ຫ(?=[ນມລວງຍຣຼ]
 _LATIN_FOLDS = [
     (re.compile(a), b)
     for a, b in (
-        ("ngh", "ng"), ("x|sh", "s"), ("w", "v"), ("ph", "p"), ("th", "t"), ("kh", "k"), ("chh?", "c"), ("nh(?=[aeiou])|ny|gn(?=[aeiou])", "y"), ("ei?ou|euu|oeu", "u"),
+        ("([^aeiou])\\1+", r"\1"), ("ngh", "ng"), ("x|sh", "s"), ("w", "v"), ("ph", "p"), ("th", "t"), ("kh", "k"), ("chh?", "c"), ("nh(?=[aeiou])|ny|gn(?=[aeiou])", "y"), ("ei?ou|euu|oeu", "u"),
         ("(?:ou|eu|u|ue)e?a", "ua"), ("oo|ou|eu|ue", "u"), ("ae", "e"), ("e[ovu](?![a-z]*[aeiou]u)", "eo"), ("a[oy]y?u?(?=[^aeiou]|$)", lambda m: "ao" if m[0][1] == "o" else "ai"), ("ay", "ai"), ("(.)\\1+", r"\1"), ("r", "l"),
     )
 ]
@@ -263,7 +263,7 @@ def map_places(values: DataFrame, villages: DataFrame, districts: DataFrame, *,
     def run(batches):
         index = PlaceIndex(*shared.value)
         for b in batches:
-            yield pd.DataFrame({value: b[value], "village_code": [index.resolve(t) for t in b[value]]})
+            yield frame(**{value: b[value]}, village_code=[index.resolve(t) for t in b[value]])
 
     return values.select(value).mapInPandas(run, f"`{value}` string, village_code string")
 

@@ -14,10 +14,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarind.functions.frames import frame
 from tamarind.llm.lookalike import look_form
 from tamarind.session import table
 
@@ -228,7 +228,8 @@ def languages_of(records: DataFrame, model: LanguageModel, key: str = "key", tex
             for k, l, parts in zip(keys, labels, own):
                 for no, (lang, p) in enumerate(segments(parts, logp[[distinct[s] for s, _ in parts]])):
                     rows.append((k, no, lang, p, l))
-            yield pd.DataFrame(rows, columns=["record_key", "segment_no", "lang", "confidence", "label"])
+            columns = ("record_key", "segment_no", "lang", "confidence", "label")
+            yield frame(**{c: [r[i] for r in rows] for i, c in enumerate(columns)})
 
     chosen = records.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("text"), F.col(label).alias("label")).where("text is not null and record_key is not null")
     return chosen.mapInPandas(run, "record_key string, segment_no int, lang string, confidence double, label string")

@@ -12,10 +12,10 @@ import re
 import unicodedata
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarind.functions.frames import frame
 from tamarind.llm.fmindex import MAX_SHARD, FMIndex, classes
 from tamarind.session import table
 
@@ -196,7 +196,7 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, key: str = "doc_i
                     else:
                         merged.append([k, i, left, right])
                 spans = [_source_span(texts[k], signs[k], l, r) for k, _, l, r in merged]
-                yield pd.DataFrame({key: keys[[m[0] for m in merged]], "item_id": [m[1] for m in merged], "span_start": [s[0] for s in spans], "span_end": [s[1] for s in spans]})
+                yield frame(**{key: [keys[m[0]] for m in merged]}, item_id=[m[1] for m in merged], span_start=[s[0] for s in spans], span_end=[s[1] for s in spans])
 
         made = documents.where(f"`{text}` is not null and `{key}` is not null").select(key, text).mapInPandas(search, schema)
         out = made if out is None else out.unionByName(made)

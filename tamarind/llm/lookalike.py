@@ -18,10 +18,10 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarind.functions.frames import frame
 from tamarind.session import table
 
 # Letters that look like a Latin letter, by script.
@@ -119,7 +119,7 @@ def _digest(s: str) -> bytes:
 def _fold_batches(batches):
     for b in batches:
         texts = b["value"].tolist()
-        yield pd.DataFrame({"key": b["key"], "stored": [_digest(t) for t in texts], "look": [_digest(look_form(t)) for t in texts]})
+        yield frame(key=b["key"], stored=[_digest(t) for t in texts], look=[_digest(look_form(t)) for t in texts])
 
 
 def normalised(df: DataFrame, column: str, to: str = "look") -> DataFrame:

@@ -15,9 +15,9 @@ from functools import lru_cache
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tamarind.functions.frames import frame
 from tamarind.llm import boosting
 from tamarind.llm.lookalike import LATIN_OF
 from tamarind.session import table
@@ -322,7 +322,7 @@ def personal_spans(df: DataFrame, key: str = "key", text: str = "text") -> DataF
         for b in batches:
             keys = b[key].tolist()
             rows = [(k, *s) for k, spans in zip(keys, spans_of(b[text].tolist(), shared.value)) for s in spans]
-            yield pd.DataFrame(rows, columns=[key, "pii_type", "span_start", "span_end"])
+            yield frame(**{c: [r[i] for r in rows] for i, c in enumerate((key, "pii_type", "span_start", "span_end"))})
 
     return df.where(f"`{text}` is not null and `{key}` is not null").select(key, text).mapInPandas(run, f"`{key}` {kind}, pii_type string, span_start int, span_end int")
 

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from tamarind.functions.frames import frame
 from tamarind.session import table
 
 _NAME = r"[^\W\d][\w .:\-]{0,40}"
@@ -213,7 +213,8 @@ def template_residue(documents: DataFrame, key: str = "doc_id", text: str = "tex
         for b in batches:
             found = [residue_kind(t) for t in b[text]]
             keep = [i for i, k in enumerate(found) if k]
-            yield pd.DataFrame({key: b[key].to_numpy()[keep], "kind": [found[i] for i in keep]})
+            keys = b[key].tolist()
+            yield frame(**{key: [keys[i] for i in keep]}, kind=[found[i] for i in keep])
 
     return documents.where(f"`{text}` is not null").select(key, text).mapInPandas(judge, f"`{key}` {kind}, kind string")
 
