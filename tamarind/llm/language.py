@@ -107,7 +107,11 @@ class LanguageModel:
 
 
 def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, epochs: int = 2) -> LanguageModel:
-    """Fit on ``(text, label)`` rows.  Labels may be wrong: sentences that a first fit contradicts are left out of the second."""
+    """Fit on ``(text, label)`` rows.
+
+    Labels may be wrong: sentences that a first fit contradicts are left out of the second.  A fifth of
+    the sentences is held out of both for the temperature; the last fit is on all that are left.
+    """
     votes: dict[str, list[int]] = {}
     for text, label in rows:
         if (lang := code_of(label)) in LANGUAGES:
@@ -132,11 +136,10 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
         x = idf[buckets[b:e]]
         values.append(c * idf[f] / max(float(np.sqrt((x * x).sum())), 1e-9))
     held = np.arange(len(texts)) % 5 == 0
-    keep = np.ones(len(texts), dtype=bool)
     k = len(LANGUAGES)
     balance = np.sqrt(len(texts) / (k * np.maximum(np.bincount(labels, minlength=k), 1)))
-    model = None
-    for rounds in range(2):
+
+    def train(rows: np.ndarray) -> LanguageModel:
         z, n = np.zeros((BUCKETS, k)), np.zeros((BUCKETS, k))
         zb, nb = np.zeros(k), np.zeros(k)
 
@@ -144,7 +147,7 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
             return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
         for _ in range(epochs):
-            for i in np.flatnonzero(keep & ~held):
+            for i in rows:
                 f, x = rows_of[i][0], values[i]
                 zf, nf = z[f], n[f]
                 w, wb = weight(zf, nf), -zb / ((beta + np.sqrt(nb)) / alpha + l2)
@@ -160,17 +163,20 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
                 nb2 = nb + p * p
                 zb += p - (np.sqrt(nb2) - np.sqrt(nb)) / alpha * wb
                 nb = nb2
-        model = LanguageModel(idf, weight(z, n).astype(np.float32), -zb / ((beta + np.sqrt(nb)) / alpha + l2))
-        logp = model.log_probabilities(texts)
-        keep = logp[np.arange(len(texts)), labels] > math.log(0.2)
+        return LanguageModel(idf, weight(z, n).astype(np.float32), -zb / ((beta + np.sqrt(nb)) / alpha + l2))
+
+    own_label = np.arange(len(texts)), labels
+    keep = train(np.flatnonzero(~held)).log_probabilities(texts)[own_label] > math.log(0.2)
+    trial = train(np.flatnonzero(keep & ~held))
     check = np.flatnonzero(held & keep)
+    model = train(np.flatnonzero(keep))
     if len(check):
-        own = logp[check]
+        scores = trial.log_probabilities([texts[i] for i in check])
 
         def loss(t):
-            s = own / t
-            s = s - np.log(np.exp(s - s.max(1, keepdims=True)).sum(1, keepdims=True)) - s.max(1, keepdims=True)
-            return -s[np.arange(len(check)), labels[check]].mean()
+            s = scores / t
+            s = s - s.max(1, keepdims=True)
+            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(check)), labels[check]]).mean())
 
         model.temperature = float(min(np.geomspace(0.1, 5, 40), key=loss))
     return model
