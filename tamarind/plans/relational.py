@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tamarind.functions import text as x
 from tamarind.functions import urls
-from tamarind.operators import joins, merge
+from tamarind.operators import joins, merge, similar
 from tamarind.session import table
 from tamarind.streaming import capture
 
@@ -475,6 +475,13 @@ def simhashes(s, d):
     return docs.select("doc_id", x.simhash(x.bare(F.col("text"))).alias("simhash"))
 
 
+@query("j13_similar_records", None)
+def similar_records(s, d):
+    """Classes of records whose texts are alike, with copies and links; not pairs of copies."""
+    (r,) = _t(s, d, "records")
+    return similar.similar_texts(r.select("key", "text").distinct(), "key", "text")
+
+
 @query("content_hashes", "SELECT doc_id, sha256(array_to_string([source, doc_type, nfc_normalize(text), coalesce(strftime(collected_at, '%Y-%m-%d'), '')], chr(31))) AS digest FROM documents")
 def content_hashes(s, d):
     """SHA-256 over the fields of a document's content, apart from how often it was seen."""

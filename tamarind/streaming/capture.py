@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from tamarind.operators.merge import upserted
 
 
+def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
+    """A watermark needs a timestamp; one without a zone is taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if late else events
+
+
 def windows(events: DataFrame, time: str, length: str, slide: str | None = None, by: tuple[str, ...] = (), late: str | None = None, value: str | None = None) -> DataFrame:
     """Counts, and sums of ``value``, of tumbling or sliding windows; with ``late`` a watermark ends them on a stream."""
-    source = events.withWatermark(time, late) if late else events
+    source = _watermarked(events, time, late)
     w = F.window(time, length, slide) if slide else F.window(time, length)
     more = [F.round(F.sum(value), 4).alias("total")] if value else []
     made = source.where(F.col(time).isNotNull()).groupBy(w.alias("w"), *by).agg(F.count("*").alias("n"), *more)
@@ -22,7 +27,7 @@ def windows(events: DataFrame, time: str, length: str, slide: str | None = None,
 
 def sessions(events: DataFrame, time: str, gap: str, by: tuple[str, ...], late: str | None = None) -> DataFrame:
     """Sessions of each key that end after a gap."""
-    source = events.withWatermark(time, late) if late else events
+    source = _watermarked(events, time, late)
     made = source.where(F.col(time).isNotNull()).groupBy(F.session_window(time, gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return made.select(*by, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
 
