@@ -244,8 +244,10 @@ def languages_of(records: DataFrame, model: LanguageModel, key: str = "key", tex
 def training_rows(records: DataFrame, text: str = "text", label: str = "lang", key: str = "key") -> list[tuple[str, str]]:
     """At most ``TRAINING_ROWS`` labelled rows, drawn by a hash of the key."""
     codes = [c for cs in CODES.values() for c in cs.split()]
-    known = records.where(F.col(text).isNotNull() & F.lower(F.split(F.col(label), "[-_]")[0]).isin(codes))
-    return [(r[0], r[1]) for r in known.select(text, label, F.xxhash64(key).alias("h")).orderBy("h", text).limit(TRAINING_ROWS).collect()]
+    known = records.where(F.col(text).isNotNull() & F.lower(F.split(F.col(label), "[-_]")[0]).isin(codes)).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(key).alias("h"))
+    # Some more rows than wanted by their hash, copies as one, so that what is gathered does not grow with the table.
+    some = known.where(F.pmod("h", F.lit(max(1, known.count()))) < TRAINING_ROWS * 5 // 4).distinct()
+    return [(r[0], r[1]) for r in some.orderBy("h", "t", "l").limit(TRAINING_ROWS).collect()]
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
