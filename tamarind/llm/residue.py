@@ -58,8 +58,8 @@ DUMMY_WORDS = (
 ).split()
 _DUMMY = re.compile(r"(?i)\b(?:" + "|".join(w for w in DUMMY_WORDS if len(w) > 3) + r"|sed|sit|non)\b")
 _FILLER = re.compile(
-    r"(?i)texte d['’]exemple|ຂໍ້ຄວາມຕົວຢ່າງ|ข้อความตัวอย่าง|nội dung mẫu|văn bản mẫu|示例(?:文本|文字|内容)|(?:占位|样本)(?:文本|文字|内容)|placeholder (?:paragraph|text)|(?:sample|dummy|filler|example) text|(?:insert|your|enter|add) (?:description|text|content)(?: here)?"
-    r"|texte (?:à venir|de remplissage)|(?:asdf ?|qwer(?:ty)? ?|zxcv ?|hjkl ?){1,9}|(?<!\w)x{4,}(?!\w)|(?<!\w)(?:test ?){3,}|(?:bla[ ,]*){3,}|(?:(?:ทดสอบ|ທົດສອບ|测试|thử nghiệm|essai)[ ,.]*){3,}|to be (?:added|written) later|coming soon|内容待补充"
+    r"(?i)texte d['’]exemple|ຂໍ້ຄວາມຕົວຢ່າງ|ข้อความตัวอย่าง|nội dung mẫu|văn bản mẫu|示例(?:文本|文字|内容)|(?:占位|样本)(?:文本|文字|内容)|placeholder (?:paragraph|text)|(?:sample|dummy|filler|example) (?:text|content)(?: for layout(?: only)?)?|(?:description|content|text) goes here|(?:insert|your|enter|add) (?:description|text|content)(?: here)?|ໃສ່(?:ເນື້ອໃນ|ຂໍ້ຄວາມ)ບ່ອນນີ້|ใส่(?:เนื้อหา|ข้อความ)ที่นี่"
+    r"|texte (?:à venir|de remplissage)|(?:asdf ?|qwer(?:ty)? ?|zxcv ?|hjkl ?){1,9}|(?<!\w)x{4,}(?!\w)|(?<!\w)(?:test ?){3,}|(?:blah?[ ,.]*){3,}|(?:(?:ทดสอบ|ທົດສອບ|测试|thử nghiệm|essai)[ ,.]*){3,}|to be (?:added|written) later|coming soon|内容待补充"
 )
 
 # Messages in place of content, by language: what is asked or reported, in the words of the page itself.
@@ -94,7 +94,7 @@ MESSAGE_WORDS = (
     "ສະຄຣິບ ສະຄິບ ລະບົບ ຜິດພາດ ບໍ່ພົບ ບໍ່ສາມາດ ລຶບ ໝົດອາຍຸ ບໍ່ມີສິດ ລັອກອິນ ລອງໃໝ່ สคริปต์ สคริปท์ ระบบ ผิดพลาด ไม่พบ ไม่สามารถ ลบ หมดอายุ สิทธิ์ ระงับ ลองใหม่ "
     "页面 错误 登录 删除 过期 下架 失效 脚本 网络 显示 访问 系统 服务器 找不到 稍后 会话 erreur introuvable connect accès supprimé retiré disponible existe expiré réessayer lỗi trang đăng_nhập xóa hết_hạn quyền thử_lại tồn_tại"
 ).split()
-FILLER_WORDS = "exemple ຕົວຢ່າງ ตัวอย่าง mẫu 示例 占位 样本 placeholder sample dummy filler example insert description your_text asdf qwer zxcv hjkl xxxx test blabla bla to_be coming_soon ทดสอบ ທົດສອບ 测试 thử_nghiệm essai 待补充 à_venir remplissage enter_text add_text your_content".split()
+FILLER_WORDS = "goes_here ໃສ່ເນື້ອໃນ ໃສ່ຂໍ້ຄວາມ ใส่เนื้อหา ใส่ข้อความ exemple ຕົວຢ່າງ ตัวอย่าง mẫu 示例 占位 样本 placeholder sample dummy filler example insert description your_text asdf qwer zxcv hjkl xxxx test blabla bla blah to_be coming_soon ทดสอบ ທົດສອບ 测试 thử_nghiệm essai 待补充 à_venir remplissage enter_text add_text your_content".split()
 
 
 def _words_automaton():
@@ -163,8 +163,18 @@ def _filler_phrases(text: str) -> bool:
 
 
 def _says_one_thing(text: str) -> bool:
-    """A line of eight words or more that are one or two words over and over."""
-    return any(len(words := line.split()) >= 8 and len(set(words)) <= 2 for line in text.split("\n"))
+    """A phrase of one to eight words over and over: short ones five times on end, longer ones three times."""
+    words = [w.strip(".,;!?。") for w in text.split()]
+    pairs = list(zip(words, words[1:]))
+    if len(pairs) - len(set(pairs)) < 4:
+        return False
+    for k in range(1, 9):
+        run = 0
+        for a, b in zip(words, words[k:]):
+            run = run + 1 if a == b and not a.isdigit() else 0
+            if run >= (4 * k if k < 3 else 2 * k):
+                return True
+    return False
 
 
 def message_instead(text: str) -> bool:
