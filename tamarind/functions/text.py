@@ -76,15 +76,16 @@ def _gram_bits(gram: str) -> np.ndarray:
 
 
 def _simhash(texts: pd.Series) -> pd.Series:
-    out = []
-    for t in texts:
-        if not t:
-            out.append(0)
-            continue
-        bits = np.sum([_gram_bits(g) for g in sorted({t[i : i + 3] for i in range(max(1, len(t) - 2))})], axis=0) > 0
-        value = sum(1 << i for i in np.flatnonzero(bits).tolist())
-        out.append(value - (1 << 64) if value >= 1 << 63 else value)
-    return pd.Series(out, dtype="int64")
+    """Votes of all texts of a batch at once: distinct trigrams are hashed once, then added up per text."""
+    grams = [sorted({t[i : i + 3] for i in range(max(1, len(t) - 2))}) if t else [] for t in texts]
+    place = {g: k for k, g in enumerate(dict.fromkeys(g for gs in grams for g in gs))}
+    bits = np.array([_gram_bits(g) for g in place], dtype=np.int32).reshape(-1, 64)
+    out = np.zeros(len(grams), dtype=np.uint64)
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    for k, gs in enumerate(grams):
+        if gs:
+            out[k] = weights[bits[[place[g] for g in gs]].sum(axis=0) > 0].sum(dtype=np.uint64)
+    return pd.Series(out.view(np.int64))
 
 
 def simhash(column: Column) -> Column:

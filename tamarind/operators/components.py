@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,22 +101,23 @@ def connected_groups(edges: DataFrame, a: str = "record_a", b: str = "record_b")
     whole = edges.select(F.col(a).alias("u"), F.col(b).alias("w")).where("u is not null and w is not null and u <> '' and w <> ''")
     pairs = cut(whole.select(F.least("u", "w").alias("u"), F.greatest("u", "w").alias("w")).distinct())
     vertices = pairs.select(F.explode(F.array("u", "w")).alias("v")).distinct()
-    live, pointers = cut(pairs.where("u <> w")), []
-    left = None
-    while live.limit(1).count():
-        deg = cut(_degrees(live))
+    live, pointers = pairs.where("u <> w"), []
+    while True:
+        deg = _degrees(live).persist(StorageLevel.MEMORY_AND_DISK)  # of checkpointed edges, so it can be made again
         counts = deg.agg(F.count("*").alias("n"), F.count_if(F.expr("deg = 1")).alias("leaves"), F.count_if(F.expr("deg = 2 and not (v < lo)")).alias("chained")).first()
-        left = counts["n"]
-        if counts["leaves"] >= max(1, WORTHWHILE * left, counts["chained"]):
+        left, leaves, chained = counts["n"], counts["leaves"], counts["chained"]
+        if leaves >= max(1, WORTHWHILE * left, chained):
             p, rest = _strip_leaves(live, deg)
-            p, live = cut(p), cut(rest)
-        elif counts["chained"] >= max(1, WORTHWHILE * left, counts["leaves"]):
+        elif chained >= max(1, WORTHWHILE * left):
             p, stays, made = _compress_chains(live, deg)
-            p, live = cut(p), cut(_canonical(stays.unionByName(made)))
+            rest = _canonical(stays.unionByName(made))
         else:
+            deg.unpersist()
             break
-        pointers.append(p)
-    if live.limit(1).count():
+        pointers.append(cut(p))
+        live = cut(rest)
+        deg.unpersist()
+    if left:
         pointers.append(cut(_star_labels(live).select(F.col("v").alias("child"), F.col("label").alias("parent"))))
     if not pointers:
         return vertices.select(F.col("v").alias("record_key"), F.col("v").alias("group_key"))
