@@ -34,10 +34,10 @@ LEAST_LETTERS = 12
 CHANGE = 3.0  # price of a change of language, in nats
 FULL_WEIGHT = 16  # letters from which a sentence counts in full
 
-_CONTACT = re.compile(r"(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)+|https?://\S+|www\.\S+|\b[\w-]+\.(?:com|la|net|org|example)\b\S*|#[^\s#]+|(?<!\w)@\w+|\b(?:line|whatsapp|wechat|zalo|viber|telegram)(?: ?id)?\s*[:：]?\s*[\w.@-]*\d[\w.@-]*|\b[A-Z]{2}[ -]?[0-9A-Z]*\d[0-9A-Z]*\b")
+_CONTACT = re.compile(r"(?i)[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?: ?(?:\.|\(dot\)|\[dot\]) ?[\w-]+)+|https?://\S+|www\.\S+|\b[\w-]+\.(?:com|la|net|org|example)\b\S*|#[^\s#]+|(?<!\w)@\w+|\b(?:line|whatsapp|wechat|zalo|viber|telegram)(?: ?id)?\s*[:：]?\s*[\w.@-]*\d[\w.@-]*|\b[A-Z]{2}[ -]?[0-9A-Z]*\d[0-9A-Z]*\b")
 _SPLIT = re.compile(r"\n+|\s*\|\s*|(?<=[.!?…])(?<![\s(.,][A-Za-zກ-ຮก-ฮ]\.)\s+|(?<=[。！？])")
 _LETTERS = re.compile(r"[^\W\d_]|[ັ-ູົຼ່-ໍัิ-ฺ็-๎]")
-_JUNK = re.compile(r"[\d\W_]+", re.A)
+_PARTED = re.compile("[ໍํ][່-่໋-๋]?[າา]|ຫ[ນມ]")  # one sign each before the folding
 
 
 def code_of(label: str | None) -> str | None:
@@ -55,7 +55,8 @@ def sentences_of(text: str) -> list[tuple[str, int]]:
     for s in _SPLIT.split(_CONTACT.sub(" ", look_form(text))):
         s = " ".join(_MARKS_OF.sub(" ", s).lower().split())
         if s:
-            out.append((s, len(_LETTERS.findall(s)) if not s.isascii() else len(s) - s.count(" ")))
+            n = len(s) - s.count(" ") if s.isascii() else len(_LETTERS.findall(s)) - len(_PARTED.findall(s))
+            out.append((s, n))
     return out
 
 
@@ -109,8 +110,8 @@ class LanguageModel:
 def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.002, epochs: int = 2) -> LanguageModel:
     """Fit on ``(text, label)`` rows.
 
-    Labels may be wrong: sentences that a first fit contradicts are left out of the second.  A fifth of
-    the sentences is held out of both for the temperature; the last fit is on all that are left.
+    Labels may be wrong: sentences whose label a fit on the other half contradicts are left out of the
+    last fit.  The same held-out probabilities set the temperature.
     """
     votes: dict[str, list[int]] = {}
     for text, label in rows:
@@ -135,7 +136,6 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
     for (f, c), b, e in zip(rows_of, begins, ends):
         x = idf[buckets[b:e]]
         values.append(c * idf[f] / max(float(np.sqrt((x * x).sum())), 1e-9))
-    held = np.arange(len(texts)) % 5 == 0
     k = len(LANGUAGES)
     balance = np.sqrt(len(texts) / (k * np.maximum(np.bincount(labels, minlength=k), 1)))
 
@@ -165,18 +165,21 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
                 nb = nb2
         return LanguageModel(idf, weight(z, n).astype(np.float32), -zb / ((beta + np.sqrt(nb)) / alpha + l2))
 
-    own_label = np.arange(len(texts)), labels
-    keep = train(np.flatnonzero(~held)).log_probabilities(texts)[own_label] > math.log(0.2)
-    trial = train(np.flatnonzero(keep & ~held))
-    check = np.flatnonzero(held & keep)
-    model = train(np.flatnonzero(keep))
-    if len(check):
-        scores = trial.log_probabilities([texts[i] for i in check])
+    # Each half is judged by a model of the other half, so that no wrong label vouches for itself.
+    logp = np.empty((len(texts), k))
+    for half in (0, 1):
+        judged = np.flatnonzero(np.arange(len(texts)) % 2 == half)
+        judge = train(np.flatnonzero(np.arange(len(texts)) % 2 != half))
+        logp[judged] = judge.log_probabilities([texts[i] for i in judged])
+    keep = np.flatnonzero(logp[np.arange(len(texts)), labels] > math.log(0.2))
+    model = train(keep if len(keep) else np.arange(len(texts)))
+    if len(keep):
+        scores = logp[keep]
 
         def loss(t):
             s = scores / t
             s = s - s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(check)), labels[check]]).mean())
+            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(keep)), labels[keep]]).mean())
 
         model.temperature = float(min(np.geomspace(0.1, 5, 40), key=loss))
     return model
