@@ -97,6 +97,13 @@ def simhash(column: Column) -> Column:
     return F.pandas_udf(_simhash, "long")(column)
 
 
+def truncated(column: Column, most: int) -> Column:
+    """The longest beginning of a text of at most ``most`` UTF-8 bytes; no sign is split."""
+    ends = [F.substring(F.encode(column, "UTF-8"), 1, max(0, most - k)).cast("string") for k in range(4)]
+    whole = F.coalesce(*(F.when(F.is_valid_utf8(e), e) for e in ends))
+    return F.when(F.octet_length(column) <= most, column).otherwise(whole)
+
+
 def keyword_hits(folded_text: Column, terms: list[str]) -> Column:
     """Terms contained in a folded text, in list order."""
     return F.filter(F.array(*(F.lit(t) for t in terms)), lambda t: F.contains(folded_text, t))

@@ -174,6 +174,64 @@ def last_post_before(s, d):
     return r.where("container_id is not null and record_type is not null").select("key", F.last(F.when(F.col("record_type") == "post", F.col("key")), ignorenulls=True).over(w).alias("last_post"))
 
 
+@query("k3_first_push", """
+    SELECT key, payload_hash, captured_at, running FROM (SELECT key, payload_hash, captured_at, sum(strlen(text)) OVER w AS running, row_number() OVER w AS n FROM records WHERE text IS NOT NULL AND container_id IS NOT NULL AND strlen(text) <= 4000
+    WINDOW w AS (PARTITION BY container_id ORDER BY captured_at, key, payload_hash ROWS UNBOUNDED PRECEDING)) WHERE running <= 4000 AND n <= 25""")
+def first_push(s, d, most_bytes=4_000, most_rows=25):
+    """Per container the oldest rows that fit one push by bytes and count; rows too large for any push are passed over."""
+    (r,) = _t(s, d, "records")
+    w = Window.partitionBy("container_id").orderBy("captured_at", "key", "payload_hash").rowsBetween(Window.unboundedPreceding, 0)
+    rows = r.where(F.col("text").isNotNull() & F.col("container_id").isNotNull()).withColumn("bytes", F.octet_length("text").cast("long")).where(F.col("bytes") <= most_bytes)
+    made = rows.withColumn("running", F.sum("bytes").over(w)).withColumn("n", F.count("*").over(w))
+    return made.where((F.col("running") <= most_bytes) & (F.col("n") <= most_rows)).select("key", "payload_hash", "captured_at", "running")
+
+
+@query("k15_payloads_wanted", "SELECT e.payload_hash, min(e.captured_at) AS oldest FROM capture_events e WHERE e.payload_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM records r WHERE r.payload_hash = e.payload_hash) GROUP BY 1 ORDER BY oldest, 1 LIMIT 50")
+def payloads_wanted(s, d):
+    """The oldest payloads that were sighted but are not stored (a top list)."""
+    e, r = _t(s, d, "capture_events", "records")
+    gone = e.where("payload_hash is not null").join(r.select("payload_hash"), "payload_hash", "left_anti")
+    return gone.groupBy("payload_hash").agg(F.min("captured_at").alias("oldest")).orderBy("oldest", "payload_hash").limit(50)
+
+
+@query("t5_stage_lag", """
+    SELECT 'extract' AS stage, count(*) AS pending, min(captured_at) AS oldest FROM (SELECT key, min(captured_at) AS captured_at FROM records GROUP BY key) r WHERE NOT EXISTS (SELECT 1 FROM observations WHERE record_key = key)
+    UNION ALL SELECT 'locate', count(*), min(observed_at) FROM observations o WHERE NOT EXISTS (SELECT 1 FROM resolved_locations l WHERE l.observation_id = o.observation_id)
+    UNION ALL SELECT 'price', count(*), min(created_at) FROM (SELECT DISTINCT claim_id, created_at FROM claims WHERE field = 'PRICE') c WHERE NOT EXISTS (SELECT 1 FROM price_observations p WHERE p.claim_id = c.claim_id)""")
+def stage_lag(s, d):
+    """What each stage has still to do, and since when."""
+    r, o, l, c, p = _t(s, d, "records", "observations", "resolved_locations", "claims", "price_observations")
+    count = lambda df, at, stage: df.agg(F.count("*").alias("pending"), F.min(at).alias("oldest")).select(F.lit(stage).alias("stage"), "pending", "oldest")
+    records = r.groupBy("key").agg(F.min("captured_at").alias("captured_at")).join(o.select(F.col("record_key").alias("key")), "key", "left_anti")
+    prices = c.where("field = 'PRICE'").select("claim_id", "created_at").distinct().join(p.select("claim_id"), "claim_id", "left_anti")
+    return count(records, "captured_at", "extract").unionByName(count(o.join(l.select("observation_id"), "observation_id", "left_anti"), "observed_at", "locate")).unionByName(count(prices, "created_at", "price"))
+
+
+@query("t8_past_retention", "SELECT DISTINCT r.key FROM records r WHERE r.captured_at < TIMESTAMP '2025-01-01' AND NOT EXISTS (SELECT 1 FROM observations o WHERE o.record_key = r.key) AND NOT EXISTS (SELECT 1 FROM records n WHERE n.key = r.key AND n.captured_at >= TIMESTAMP '2025-01-01')")
+def past_retention(s, d, before="2025-01-01"):
+    """Records last captured before a day and protected by no observation."""
+    r, o = _t(s, d, "records", "observations")
+    old = r.groupBy("key").agg(F.max("captured_at").alias("last"), F.min("captured_at").alias("first")).where(F.col("last") < F.lit(before).cast("timestamp"))
+    return old.join(o.select(F.col("record_key").alias("key")), "key", "left_anti").select("key")
+
+
+@query("h1_reconciliation", """
+    SELECT 'records sighted' AS name, count(*) AS whole, count(*) FILTER (EXISTS (SELECT 1 FROM capture_events WHERE record_key = k)) AS met FROM (SELECT DISTINCT key AS k FROM records)
+    UNION ALL SELECT 'events with record', count(*), count(*) FILTER (EXISTS (SELECT 1 FROM records WHERE key = record_key)) FROM capture_events
+    UNION ALL SELECT 'observations with record', count(*), count(*) FILTER (EXISTS (SELECT 1 FROM records WHERE key = record_key)) FROM observations
+    UNION ALL SELECT 'claims with observation', count(*), count(*) FILTER (EXISTS (SELECT 1 FROM observations o WHERE o.observation_id = claims.observation_id)) FROM claims""")
+def reconciliation(s, d):
+    """How many rows of each layer have what they were derived from."""
+    r, e, o, c = _t(s, d, "records", "capture_events", "observations", "claims")
+
+    def check(name, rows, key, other, other_key):
+        known = other.select(F.col(other_key).alias("_k")).distinct()
+        return rows.join(known, rows[key] == F.col("_k"), "left").agg(F.count("*").alias("whole"), F.count("_k").alias("met")).select(F.lit(name).alias("name"), "whole", "met")
+
+    keys = r.select("key").distinct()
+    return check("records sighted", keys, "key", e, "record_key").unionByName(check("events with record", e, "record_key", r, "key")).unionByName(check("observations with record", o, "record_key", r, "key")).unionByName(check("claims with observation", c, "observation_id", o, "observation_id"))
+
+
 # --- joins -------------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +520,13 @@ def masked_contacts(s, d):
     return c.where("field = 'CONTACT' and value_text is not null").select("claim_id", x.masked(F.col("value_text")).alias("mask")).distinct()
 
 
+@query("x15_truncated", None)
+def truncated(s, d, most=300):
+    """Texts cut to a number of UTF-8 bytes without splitting a sign."""
+    (docs,) = _t(s, d, "documents")
+    return docs.select("doc_id", x.truncated(F.col("text"), most).alias("text"))
+
+
 @query("x16_leak_scan", "SELECT doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}') AS email, regexp_matches(text, 'https?://\\S+') AS address, regexp_matches(text, '\\b[0-9a-f]{64}\\b') AS digest FROM documents")
 def leak_scan(s, d):
     (docs,) = _t(s, d, "documents")

@@ -47,6 +47,14 @@ def test_text(spark):
     assert spark.range(1).select(text.jaccard(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b"))), text.dice(F.array(F.lit("a"), F.lit("b")), F.array(F.lit("b")))).first()[:] == (0.5, 2 / 3)
 
 
+def test_truncated_splits_no_sign(spark):
+    texts = ["abc", "ລາວລາວ", "é" * 5, "🙏🙏", "", None, "aລ🙏"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for most in range(1, 12):
+        want = [None if t is None else next(t[:n] for n in range(len(t), -1, -1) if len(t[:n].encode()) <= most) for t in texts]
+        assert [r[0] for r in df.select(text.truncated(F.col("t"), most)).collect()] == want
+
+
 def test_simhash_against_votes(spark):
     import hashlib
 
