@@ -289,5 +289,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per LOCATION_TEXT claim; every distinct value is resolved once."""
     claims = table(spark, sf_dir, "claims").where("field = 'LOCATION_TEXT' and claim_id is not null").groupBy("claim_id").agg(F.min("value_text").alias("value_text"))
     distinct = claims.where("value_text is not null").select("value_text").distinct()
+    # The values are few bytes but long work each: spread by count, not by size.
+    distinct = distinct.repartition(2 * spark.sparkContext.defaultParallelism)
     mapped = map_places(distinct, table(spark, sf_dir, "villages"), table(spark, sf_dir, "districts"))
     return claims.join(mapped, "value_text", "left").select("claim_id", F.coalesce("village_code", F.lit(UNMATCHED)).alias("village_code"))
