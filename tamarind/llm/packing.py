@@ -174,6 +174,8 @@ def packed(documents: DataFrame, *, key: str = "doc_id", tokens: str = "n_tokens
     def deal(items: DataFrame, salt: int) -> DataFrame:
         shards = max(1, -(-items.count() // SHARD))
         dealt = items.withColumn("shard", F.pmod(F.xxhash64("key", "piece_no", F.lit(salt), F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+        # Shards are few bytes but long work each: spread by count, not by size.
+        dealt = dealt.repartition(min(shards, 4 * documents.sparkSession.sparkContext.defaultParallelism), "shard")
         return dealt.groupBy("shard").applyInPandas(lambda f: _pack(f, capacity)[["key", "piece_no", "tokens", "shard", "bin", "position", "filled"]], schema)
 
     whole = pieces.where(F.col("tokens") == capacity)
