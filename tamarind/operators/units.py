@@ -90,7 +90,7 @@ def quantities_in_common_units(claims: DataFrame, prices: DataFrame, fx: DataFra
     amount; foreign money before the first rate gives null.  Columns besides those named are not read.
     """
     one = claims.where(F.col("field").isin(*SIZE_FIELDS, "PRICE") & F.col("claim_id").isNotNull()).groupBy("claim_id").agg(F.min(F.struct("field", "value_text")).alias("c")).select("claim_id", "c.field", "c.value_text")
-    day = F.to_date(F.coalesce("post_date", "observed_at"))
+    day = F.to_date(F.to_utc_timestamp(F.coalesce("post_date", "observed_at"), F.current_timezone()))  # the UTC day in any session
     price = prices.where("claim_id is not null").groupBy("claim_id").agg(F.min(F.struct("price_observation_id", "amount_original", "currency_original", "price_basis", day.alias("day"))).alias("p")).select("claim_id", "p.*")
     rates = rates_by_day(fx)
     last = rates.agg(F.max("rate_date").alias("last_day"))

@@ -61,3 +61,14 @@ def test_query_joins_rates_and_drops_copies(spark):
     got = {tuple(r) for r in quantities_in_common_units(claims, prices, fx).collect()}
     assert got == {(1, "LAK", 40001), (2, "DM2", 160000), (5, "CM", None)}
     assert quantities_in_common_units(claims.limit(0), prices.limit(0), fx.limit(0)).count() == 0
+
+
+def test_rates_are_those_of_the_utc_day(spark, sf_dir):
+    from tamarind.operators.units import p6_found
+
+    want = {tuple(r) for r in p6_found(spark, sf_dir).collect()}
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Vientiane")
+    try:
+        assert {tuple(r) for r in p6_found(spark, sf_dir).collect()} == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
