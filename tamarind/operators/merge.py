@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tamarind.functions.frames import frame
+
 #: What a merge keeps of each column: the last value that is not null, the last array that is not empty, the greatest, the first.
 LAST = "permalink container_id container_name container_type matched_via url_hash author_name author_id author_hash author_url text lang reactions_total comments_count shares_count views_count parser_version payload_hash content_hash".split()
 FILLED = "matched_keywords media hashtags".split()
@@ -70,3 +72,35 @@ def running_total(rows: DataFrame, order: str, value: str, block: int = 4096) ->
     before = sums.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     inside = F.sum(value).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
     return blocks.withColumn("_in", inside).join(before, "_b").withColumn("running", F.coalesce(F.col("_in"), F.lit(0)) + F.col("_before")).drop("_b", "_in", "_before")
+
+
+def pushes(rows: DataFrame, queue: str, order: list[str], size: str, most_bytes: int = 4_000_000, most_rows: int = 25) -> DataFrame:
+    """Adds ``push``, the number from 1 of the push that takes each row in its queue, ``running``, the bytes of the push so far, and ``too_large``.
+
+    A push takes rows in order until the next would exceed its rows or bytes; that row opens the next
+    push.  Rows larger than any push are flagged, have no push and hold up no other.  Queues are read
+    as sorted streams, so a long one costs no memory.
+    """
+    kinds = dict(rows.dtypes)
+    names, times = rows.columns, [c for c, k in kinds.items() if k == "timestamp"]  # times go as whole numbers, whatever the session's zone
+
+    def plan(batches):
+        at, push, n, running = None, 0, 0, 0
+        for b in batches:
+            made: list = []
+            for q, k in zip(b[queue].tolist(), b[size].tolist()):
+                if q != at:
+                    at, push, n, running = q, 0, 0, 0
+                if k > most_bytes:
+                    made.append((None, None, True))
+                    continue
+                if not push or n >= most_rows or running + k > most_bytes:
+                    push, n, running = push + 1, 0, 0
+                n, running = n + 1, running + k
+                made.append((push, running, False))
+            yield frame(**{c: b[c].tolist() for c in names}, push=[m[0] for m in made], running=[m[1] for m in made], too_large=[m[2] for m in made])
+
+    schema = ", ".join([*(f"`{c}` {'long' if c in times else kinds[c]}" for c in names), "push long, running long, too_large boolean"])
+    queued = rows.where(F.col(queue).isNotNull() & F.col(size).isNotNull()).withColumns({c: F.unix_micros(c) for c in times})
+    made = queued.repartition(queue).sortWithinPartitions(queue, *order).mapInPandas(plan, schema)
+    return made.withColumns({c: F.timestamp_micros(c) for c in times})

@@ -186,6 +186,14 @@ def first_push(s, d, most_bytes=4_000, most_rows=25):
     return made.where((F.col("running") <= most_bytes) & (F.col("n") <= most_rows)).select("key", "payload_hash", "captured_at", "running")
 
 
+@query("k3_pushes")
+def all_pushes(s, d):
+    """Every row with text and container with the number of its push, at the reference's 4 MB and 25 rows; rows too large for any push are flagged."""
+    (r,) = _t(s, d, "records")
+    rows = r.where(F.col("text").isNotNull() & F.col("container_id").isNotNull()).select("key", "payload_hash", "captured_at", "container_id", F.octet_length("text").cast("long").alias("bytes"))
+    return merge.pushes(rows, "container_id", ["captured_at", "key", "payload_hash"], "bytes")
+
+
 @query("k15_payloads_wanted", "SELECT e.payload_hash, min(e.captured_at) AS oldest FROM capture_events e WHERE e.payload_hash IS NOT NULL AND NOT EXISTS (SELECT 1 FROM records r WHERE r.payload_hash = e.payload_hash) GROUP BY 1 ORDER BY oldest, 1 LIMIT 50")
 def payloads_wanted(s, d):
     """The oldest payloads that were sighted but are not stored (a top list)."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tamarind.functions import geometry, text, urls
 from tamarind.operators import joins, merge, similar
+from tamarind.plans import relational
 from tamarind.sources import files, payloads
 from tamarind.streaming import capture
 
@@ -185,6 +186,33 @@ def test_similar_texts(spark):
     assert got == {"k1": ("k1", 3), "k2": ("k1", 3), "k3": ("k1", 3), "k4": ("k4", 1), "k5": ("k5", 1), "k6": ("k6", 1)}
 
 
+def test_pushes_take_every_row(spark):
+    r = random.Random(8)
+    rows = [(f"k{i}", r.choice("abc"), at(r.randrange(400)), r.choice([5, 30, 80, 300])) for i in range(500)] + [("z", "d", at(1), 101), ("y", "a", at(2), None)]
+    want = {}
+    for q in "abcd":
+        push, n, running = 0, 0, 0
+        for k, _, t, b in sorted((x for x in rows if x[1] == q and x[3] is not None), key=lambda x: (x[2], x[0])):
+            if b > 100:
+                want[k] = (None, None, True, t)
+                continue
+            if not push or n == 4 or running + b > 100:
+                push, n, running = push + 1, 0, 0
+            n, running = n + 1, running + b
+            want[k] = (push, running, False, t)
+    df = spark.createDataFrame(rows, "k string, q string, t timestamp, b long")
+    got = {x["k"]: (x["push"], x["running"], x["too_large"], x["t"]) for x in merge.pushes(df, "q", ["t", "k"], "b", 100, 4).collect()}
+    assert got == want and len(got) == 501
+
+
+def test_push_query_leaves_no_row_without_a_place(spark, sf_dir):
+    df = relational.QUERIES["k3_pushes"](spark, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/records.parquet").where("text is not null and container_id is not null")
+    assert df.where("push is not null or too_large").count() == rows.count()
+    assert not df.where("too_large").count()
+    assert df.groupBy("container_id", "push").agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).where("n > 25 or b > 4000000").count() == 0
+
+
 # --- sources and sinks
 
 STORY = {"__typename": "Story", "post_id": "11", "wwwURL": "https://f.example/11", "creation_time": 1700000000, "actors": [{"id": "u1", "name": "Noy"}], "to": {"__typename": "Group", "id": "g1", "name": "Plots"},
