@@ -23,11 +23,12 @@ def asof(left: DataFrame, right: DataFrame, on: str, left_day: str, right_day: s
     return left.join(best, [on, left_day], "left")
 
 
-def near_pairs(points: DataFrame, key: str, lat: str, lng: str, metres: float) -> DataFrame:
+def near_pairs(points: DataFrame, key: str, lat: str, lng: str, metres: float, hot: int = 2_000) -> DataFrame:
     """Pairs ``(a, b, metres)``, a < b, within a great-circle distance, through the neighbour cells of a grid.
 
-    Meant for sets without crowds (places, sites): pairs are the result.  Points that crowd are first
-    reduced to distinct places.
+    Equal points are first reduced to one (``same_points``), since pairs are the result.  The points of
+    a cell with more than ``hot`` of them are dealt to that many salts, and those around it are
+    repeated for each, so that no task meets the whole crowd.
     """
     step = metres / METRES_PER_DEGREE * 1.001
     p = points.where(f"{key} is not null and {lat} is not null and {lng} is not null").select(F.col(key).alias("k"), F.col(lat).alias("y"), F.col(lng).alias("x")).distinct()
@@ -36,13 +37,23 @@ def near_pairs(points: DataFrame, key: str, lat: str, lng: str, metres: float) -
     width = lambda r: F.lit(step) / F.cos(F.radians(F.least(F.greatest(F.abs(r * step), F.abs((r + 1) * step)), F.lit(89.0))))
     home = p.withColumn("r", row).withColumn("c", F.floor(F.col("x") / width(F.col("r"))))
     around = p.withColumn("r", F.explode(F.array(row - 1, row, row + 1))).withColumn("c0", F.floor(F.col("x") / width(F.col("r")))).withColumn("c", F.explode(F.array(F.col("c0") - 1, F.col("c0"), F.col("c0") + 1)))
-    a = home.select("r", "c", F.col("k").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"))
-    b = around.select("r", "c", F.col("k").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"))
+    # At most one crowded cell for each ``hot`` points, so their list is small against the points.
+    crowded = F.broadcast(home.groupBy("r", "c").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("r", "c", F.ceil(F.col("n") / hot).cast("int").alias("salts")))
+    salts = F.coalesce("salts", F.lit(1))
+    a = home.join(crowded, ["r", "c"], "left").select("r", "c", F.pmod(F.xxhash64("k"), salts).cast("int").alias("s"), F.col("k").alias("a"), F.col("y").alias("ya"), F.col("x").alias("xa"))
+    b = around.join(crowded, ["r", "c"], "left").select("r", "c", F.explode(F.sequence(F.lit(0), salts - 1)).alias("s"), F.col("k").alias("b"), F.col("y").alias("yb"), F.col("x").alias("xb"))
     h = F.pow(F.sin(F.radians(F.col("yb") - F.col("ya")) / 2), 2) + F.cos(F.radians("ya")) * F.cos(F.radians("yb")) * F.pow(F.sin(F.radians(F.col("xb") - F.col("xa")) / 2), 2)
-    pairs = a.join(b, ["r", "c"]).where("a < b").withColumn("metres", 2 * 6_371_000.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
+    pairs = a.join(b, ["r", "c", "s"]).where("a < b").withColumn("metres", 2 * 6_371_000.0 * F.asin(F.sqrt(F.least(h, F.lit(1.0)))))
     return pairs.where(F.col("metres") <= metres).select("a", "b", "metres").distinct()
 
 
+def same_points(rows: DataFrame, key: str, lat: str, lng: str) -> DataFrame:
+    """``(key, point, copies, lat, lng)``: each key of a located row with the least key of its very point and the number of keys there."""
+    located = rows.where(f"{key} is not null and {lat} is not null and {lng} is not null").select(key, lat, lng).distinct()
+    per = located.groupBy(lat, lng).agg(F.min(key).alias("point"), F.count("*").alias("copies"))
+    return located.join(per, [lat, lng]).select(key, "point", "copies", lat, lng)
+
+
 def similar_names(left: DataFrame, right: DataFrame, key: str, name: str, least: float = 0.6) -> DataFrame:
     """``(a, b, score)`` of names whose letter pairs have a Dice score of at least ``least``.
 

@@ -326,6 +326,36 @@ def near_villages(s, d):
     return joins.near_pairs(v, "code", "centroid_lat", "centroid_lng", 15_000).select("a", "b", F.round("metres", 3).alias("metres"))
 
 
+#: Precisions of a point that a blocking by distance may trust; others are centroids of units.
+PRECISE = ("EXACT_COORDINATE", "PARCEL_APPROXIMATE")
+
+
+def _located(s, d):
+    l = _t(s, d, "resolved_locations")[0]
+    return l.select("resolved_location_id", "observation_id", "lat", "lng", F.coalesce(F.col("precision").isin(*PRECISE), F.lit(False)).alias("precise")).where("observation_id is not null")
+
+
+@query("j12_point_members", """
+    SELECT resolved_location_id, observation_id, min(resolved_location_id) OVER w AS point, count(*) OVER w AS copies, precise
+    FROM (SELECT DISTINCT resolved_location_id, observation_id, lat, lng, coalesce(precision IN ('EXACT_COORDINATE', 'PARCEL_APPROXIMATE'), false) AS precise FROM resolved_locations WHERE observation_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL) WINDOW w AS (PARTITION BY lat, lng)""")
+def point_members(s, d):
+    """Every located observation with the least location of its very point; all members of a point are near each other."""
+    rows = _located(s, d)
+    return joins.same_points(rows, "resolved_location_id", "lat", "lng").join(rows.select("resolved_location_id", "observation_id", "precise").distinct(), "resolved_location_id").select("resolved_location_id", "observation_id", "point", "copies", "precise")
+
+
+@query("j12_near_points", """
+    WITH p AS (SELECT min(resolved_location_id) AS k, lat, lng, bool_or(coalesce(precision IN ('EXACT_COORDINATE', 'PARCEL_APPROXIMATE'), false)) AS precise FROM resolved_locations WHERE observation_id IS NOT NULL AND lat IS NOT NULL AND lng IS NOT NULL GROUP BY lat, lng)
+    SELECT a, b, round(m, 3) AS metres, precise FROM (SELECT p.k AS a, q.k AS b, p.precise AND q.precise AS precise, 2 * 6371000.0 * asin(sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lng - p.lng) / 2), 2))) AS m
+    FROM p JOIN p q ON p.k < q.k) WHERE m <= 300""")
+def near_points(s, d):
+    """Links within 300 m between distinct points of observations, by their least locations; ``precise`` where both have a member that the reference would block."""
+    points = _located(s, d).where("lat is not null and lng is not null").groupBy("lat", "lng").agg(F.min("resolved_location_id").alias("k"), F.max("precise").alias("precise"))
+    links = joins.near_pairs(points, "k", "lat", "lng", 300)
+    of = lambda end: points.select(F.col("k").alias(end), F.col("precise").alias(f"p_{end}"))
+    return links.join(of("a"), "a").join(of("b"), "b").select("a", "b", F.round("metres", 3).alias("metres"), (F.col("p_a") & F.col("p_b")).alias("precise"))
+
+
 @query("j14_names_exact", "SELECT DISTINCT c.claim_id, v.code FROM (SELECT DISTINCT claim_id, value_text FROM claims WHERE field = 'LOCATION_TEXT') c JOIN (SELECT code, unnest(list_concat([name_lo, name_en], coalesce(name_variants, []))) AS n FROM villages) v ON lower(trim(c.value_text)) = lower(v.n)")
 def names_exact(s, d):
     c, v = _t(s, d, "claims", "villages")

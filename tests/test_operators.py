@@ -153,6 +153,27 @@ def test_near_pairs_against_brute_force(spark):
     assert got == {(a[0], b[0]) for a in real for b in real if a[0] < b[0] and geometry.haversine_m(a[1], a[2], b[1], b[2]) <= 1500}
 
 
+def test_near_pairs_of_crowds(spark):
+    r = random.Random(5)
+    crowd = [(i, 18.0 + r.gauss(0, 0.0004), 102.5 + r.gauss(0, 0.0004)) for i in range(250)]
+    copies = [(1000 + i, *crowd[i % 3][1:]) for i in range(40)]
+    df = spark.createDataFrame(crowd + copies + [(2000, None, 102.5)], "k long, lat double, lng double")
+    members = joins.same_points(df, "k", "lat", "lng").collect()
+    assert len(members) == 290 and {m["k"]: m["point"] for m in members}[1004] == 1 and {m["copies"] for m in members} == {1, 14, 15}
+    got = {(x["a"], x["b"]) for x in joins.near_pairs(spark.createDataFrame(crowd, "k long, lat double, lng double"), "k", "lat", "lng", 60, hot=7).collect()}
+    assert got == {(a[0], b[0]) for a in crowd for b in crowd if a[0] < b[0] and geometry.haversine_m(a[1], a[2], b[1], b[2]) <= 60}
+
+
+def test_near_observations_of_a_crowd(spark, tmp_path):
+    """Locations round one village are linked by point; equal points are one with its members."""
+    rows = [(1, 10, 18.0, 102.5, "VILLAGE"), (2, 11, 18.0, 102.5, "VILLAGE"), (3, 12, 18.001, 102.5, "EXACT_COORDINATE"), (4, 12, 18.002, 102.5, "PARCEL_APPROXIMATE"), (5, 13, 18.1, 102.5, None), (6, 14, None, None, "TEXT_ONLY")]
+    spark.createDataFrame(rows, "resolved_location_id long, observation_id long, lat double, lng double, precision string").write.parquet(f"{tmp_path}/resolved_locations.parquet")
+    links = {tuple(x) for x in relational.QUERIES["j12_near_points"](spark, str(tmp_path)).select("a", "b", "precise").collect()}
+    assert links == {(1, 3, False), (3, 4, True), (1, 4, False)}
+    members = {tuple(x) for x in relational.QUERIES["j12_point_members"](spark, str(tmp_path)).collect()}
+    assert members == {(1, 10, 1, 2, False), (2, 11, 1, 2, False), (3, 12, 3, 1, True), (4, 12, 4, 1, True), (5, 13, 5, 1, False)}
+
+
 def test_similar_names_and_walk(spark):
     names = ["Phonxay", "Phonsay", "Ponxay", "Vieng", "Viengkham", "V", "", None, "Nongbone", "Nong Bone"]
     df = spark.createDataFrame(list(enumerate(names)), "k int, n string")
