@@ -10,6 +10,9 @@ what the text holds beside them must be less than they are.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from re import _constants as sre
+from re._parser import parse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -87,32 +90,116 @@ _SCRIPTS, _ASKS = re.compile(f"(?i){_SCRIPT}"), re.compile(f"(?i){_SCRIPT_ASKS}"
 LONGEST_MESSAGE = 130
 #: Letters that may follow a message as the rest of it ("Try again later.").
 MESSAGE_REST = 70
-# Words without which no message, filler phrase or dummy Latin is there: one automaton finds which a text has.
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a regular expression outside all groups and classes."""
+    made, depth, at, k = [], 0, 0, 0
+    while k < len(pattern):
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif c == "[":
+            k = pattern.index("]", k + 2)
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+        elif c == "|" and not depth:
+            made.append(pattern[at:k])
+            at = k + 1
+        k += 1
+    return [*made, pattern[at:]]
+
+
+def _folded(text: str) -> str:
+    """Small letters as regular expressions without regard to case take them."""
+    if not text.isascii():
+        text = text.replace("\u0130", "i").replace("\u0131", "i").replace("\u017f", "s")
+    return text.lower()
+
+
+def _literals(items) -> tuple[set[str] | None, set[str] | None]:
+    """Of a parsed expression: all strings it matches, where they are few; literals of which each match holds one."""
+
+    def better(a, b):
+        rank = lambda x: (0, 0) if not x or "" in x else (min(map(len, x)), -len(x))
+        return a if rank(a) >= rank(b) else b
+
+    run, needed, whole = {""}, None, True
+    for op, value in items:
+        all_of = some = None
+        if op is sre.LITERAL:
+            all_of = {_folded(chr(value))}
+        elif op is sre.IN and all(o is sre.LITERAL or o is sre.RANGE and v[1] - v[0] < 10 for o, v in value):
+            all_of = {_folded(chr(c)) for o, v in value for c in (range(v[0], v[1] + 1) if o is sre.RANGE else (v,))}
+        elif op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+            all_of = {""}
+        elif op is sre.SUBPATTERN:
+            all_of, some = _literals(value[-1])
+        elif op is sre.BRANCH:
+            each = [_literals(b) for b in value[1]]
+            all_of = set().union(*(e for e, _ in each)) if all(e is not None for e, _ in each) else None
+            some = set().union(*(n for _, n in each)) if all(n for _, n in each) else None
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            least, most, inner = value
+            e, n = _literals(inner)
+            if least == 0:
+                all_of = e | {""} if e is not None and most == 1 else None
+            else:
+                all_of = e if most == 1 else None
+                some = {x * least for x in e} if e and len(e) == 1 else n
+        if all_of is not None and len(run) * len(all_of) <= 64:
+            run = {a + b for a in run for b in all_of}
+        else:
+            needed, whole = better(better(needed, run), better(some, all_of)), False
+            run = {""}
+    needed = better(needed, run)
+    return run if whole else None, needed if needed and "" not in needed else None
+
+
+# What a text must hold for an alternative to match is derived from the alternative, so that no match is passed over: one
+# automaton finds which alternatives a text may hold, and only those are searched for.
+_PHRASES = [a for m in MESSAGES for a in _alternatives(m)]
+#: A code with its number may as well be that of a plot, a price or a room: it counts beside one of the words or where it stands alone.
+_CODES = {k for k, a in enumerate(_PHRASES) if a in _alternatives(MESSAGES[1])[:2]}
 MESSAGE_WORDS = (
     "script js cookie error http browser captcha robot human traffic found gateway unavailable available maintenance requests traceback fatal undefined exception stack database upstream connection wrong log_in login sign_in signin session denied permission "
     "forbidden suspended blocked members exist removed expired deleted taken_down unauthori cannot "
     "ສະຄຣິບ ສະຄິບ ລະບົບ ຜິດພາດ ບໍ່ພົບ ບໍ່ສາມາດ ລຶບ ໝົດອາຍຸ ບໍ່ມີສິດ ລັອກອິນ ລອງໃໝ່ สคริปต์ สคริปท์ ระบบ ผิดพลาด ไม่พบ ไม่สามารถ ลบ หมดอายุ สิทธิ์ ระงับ ลองใหม่ "
     "页面 错误 登录 删除 过期 下架 失效 脚本 网络 显示 访问 系统 服务器 找不到 稍后 会话 erreur introuvable connect accès supprimé retiré disponible existe expiré réessayer lỗi trang đăng_nhập xóa hết_hạn quyền thử_lại tồn_tại"
 ).split()
-FILLER_WORDS = "goes_here ໃສ່ເນື້ອໃນ ໃສ່ຂໍ້ຄວາມ ใส่เนื้อหา ใส่ข้อความ exemple ຕົວຢ່າງ ตัวอย่าง mẫu 示例 占位 样本 placeholder sample dummy filler example insert description your_text asdf qwer zxcv hjkl xxxx test blabla bla blah to_be coming_soon ทดสอบ ທົດສອບ 测试 thử_nghiệm essai 待补充 à_venir remplissage enter_text add_text your_content".split()
+_SINGLE = [re.compile(f"(?i){a}") for a in _PHRASES]
 
 
 def _words_automaton():
     import ahocorasick
 
-    words: dict[str, list[str]] = {}
-    for kind, names in (("D", [w for w in DUMMY_WORDS if len(w) > 3]), ("F", FILLER_WORDS), ("M", MESSAGE_WORDS)):
-        for w in names:
-            words.setdefault(w.replace("_", " "), []).append(kind)
+    words: dict[str, set] = {}
+    expressions = [(k, a) for k, a in enumerate(_PHRASES)] + [("F", a) for a in _alternatives(_FILLER.pattern.removeprefix("(?i)"))] + [("S", _SCRIPT)]
+    for mark, expression in expressions:
+        held = _literals(parse(expression, re.I))[1]
+        if held is None:
+            raise ValueError(f"no literal in {expression}")
+        for w in held:
+            words.setdefault(w, set()).add(mark)
+    for w in {*(w for w in DUMMY_WORDS if len(w) > 3), "sed", "sit", "non"}:
+        words.setdefault(w, set()).add("D")
+    for w in MESSAGE_WORDS:
+        words.setdefault(w.replace("_", " "), set()).add("M")
     made = ahocorasick.Automaton()
-    for w, kinds in words.items():
-        made.add_word(w, ("".join(kinds), w))
+    for w, marks in words.items():
+        made.add_word(w, (frozenset(marks), w))
     made.make_automaton()
     return made
 
 
 _WORDS = _words_automaton()
 
+
+@lru_cache(4096)
+def _any_of(phrases: tuple[int, ...]) -> re.Pattern:
+    return re.compile("(?i)" + ("|".join(f"(?:{_PHRASES[k]})" for k in phrases) or r"(?!)"))
+
+
 #: Words of somebody telling of a message, not the message.
 _TOLD = re.compile(
     r"(?i)\b(?:my|i|i'm|i've|we phoned|he|she|yesterday|last (?:week|month|year)|for two days|which (?:is why|took)|asked (?:why|whether)|the office|the broker|members asked)\b|ເມື່ອວານ|ມື້ວານ|ຂ້ອຍ|ເລີຍ(?:ຕ້ອງ|ໂທ)|ໄວ້ ?$|ໃນໂທລະສັບ|เมื่อวาน|ผม|ฉัน|ดิฉัน|เลย(?:ต้อง|ไม่)|昨天|我(?:的|们)?|所以|hier\b|mon\b|ma\b|j'ai|je\b|nous avons|hôm qua|tôi|chúng tôi|nên phải"
@@ -177,13 +264,13 @@ def _says_one_thing(text: str) -> bool:
     return False
 
 
-def message_instead(text: str) -> bool:
+def message_instead(text: str, message: re.Pattern = _MESSAGE) -> bool:
     """An error, log-in, removal or block message or a script notice that outweighs the content beside it."""
     told = said = rest = 0
     parts = [s.strip() for s in _SENTENCE.split(text) if s.strip()]
     for k, s in enumerate(parts):
         n = _letters(s)
-        if (_MESSAGE.search(s) or _SCRIPTS.search(s) and _ASKS.search(s)):
+        if (message.search(s) or _SCRIPTS.search(s) and _ASKS.search(s)):
             if _TOLD.search(s):
                 told += n
             else:
@@ -194,21 +281,30 @@ def message_instead(text: str) -> bool:
     return said > 0 and (said >= rest + told or told == 0 and rest <= MESSAGE_REST)
 
 
+def _code_alone(text: str, phrases: tuple[int, ...]) -> bool:
+    """Nothing but codes and lines of navigation."""
+    code = _any_of(phrases)
+    return all(_letters(code.sub("", s)) <= 3 for s in map(str.strip, _SENTENCE.split(text)) if s and not _NAVIGATION.match(s))
+
+
 def residue_kind(text: str | None) -> str | None:
     """``field``, ``filler``, ``message`` or None for one text; null and empty texts show nothing."""
     if not text:
         return None
     if unfilled_field(text):
         return "field"
-    hits = [found for _, found in _WORDS.iter(text.lower())]
-    dummy = [w for kinds, w in hits if "D" in kinds]
-    if len(dummy) >= 5 and len(set(dummy)) >= 3 and _dummy_latin(text) or any("F" in kinds for kinds, _ in hits) and _filler_phrases(text):
+    hits = {found for _, found in _WORDS.iter(_folded(text))}
+    marks = set().union(*(m for m, _ in hits))
+    # Dummy Latin takes four of its words, a filler phrase one of its literals.
+    if sum("D" in m for m, _ in hits) >= 4 and _dummy_latin(text) or "F" in marks and _filler_phrases(text):
         return "filler"
-    # A message must outweigh the rest, so a text much longer than its message words allow has none.
-    asked = sum("M" in kinds for kinds, _ in hits)
     if _says_one_thing(text):
         return "filler"
-    return "message" if asked and len(text) <= 4 * LONGEST_MESSAGE * asked + 200 and message_instead(text) else None
+    phrases = tuple(k for k in sorted(m for m in marks if isinstance(m, int)) if _SINGLE[k].search(text))
+    asks = "S" in marks and _SCRIPTS.search(text) and _ASKS.search(text)
+    if not asks and "M" not in marks and _CODES.issuperset(phrases) and not _code_alone(text, phrases):
+        return None
+    return "message" if (phrases or asks) and message_instead(text, _any_of(phrases)) else None
 
 
 def template_residue(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

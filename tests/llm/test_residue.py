@@ -1,5 +1,6 @@
 import pytest
 
+from tamarind.llm import residue
 from tamarind.llm.residue import residue_kind, template_residue
 
 REAL = "The plot lies 3 kilometres from the river and stays dry in the wet season. The roof was renewed 9 years ago and so was all of the wiring. "
@@ -21,6 +22,27 @@ def test_kinds(text, kind):
     assert residue_kind(text) == kind
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("410 Gone", "message"), ("Status: 503", "message"), ("Code 404", "message"), ("Mã 500", "message"), ("The site is temporarily down", "message"), ("Your account has been disabled", "message"), ("You must be a member of this group", "message"),
+        ("blah, blah, blah", "filler"), ("sed sit non lorem sed sit", "filler"), ("Land 400 - 500 sqm for sale", None), ("Land for sale. Code 450.", None), ("Room 404 service charge included", None),
+        ("Access denied\n" + "".join(f"{w} | {w[::-1]}\n" for w in sorted({a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnr"})), "message"), ("Access denied\n" + REAL * 8, None),
+    ],
+)
+def test_no_match_is_passed_over(text, kind):
+    assert residue_kind(text) == kind
+
+
+def test_each_alternative_is_found_by_its_literals():
+    for k, a in enumerate(residue._PHRASES):
+        held = residue._literals(residue.parse(a, residue.re.I))[1]
+        assert held and all(w == residue._folded(w) and len(w) > 1 for w in held)
+    for text in ("HTTP 599", "page could not be found", "\u017fign in required", "LỖI MÁY CHỦ", "verifying you are human", "phiên đã hết hạn"):
+        folded = residue._folded(text)
+        assert [k for k, p in enumerate(residue._SINGLE) if p.search(text)] and all(any(w in folded for w in residue._literals(residue.parse(residue._PHRASES[k], residue.re.I))[1]) for k, p in enumerate(residue._SINGLE) if p.search(text))
+
+
 def test_query(spark):
     df = spark.createDataFrame([(1, REAL, "a"), (2, "{{x}}", "a"), (2, "{{x}}", "a"), (3, None, "a"), (4, "word " * 100000 + "{{ title }}", "a")], "doc_id long, text string, kind string")
     assert sorted(tuple(r) for r in template_residue(df).collect()) == [(2, "field"), (2, "field"), (4, "field")]
