@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarind.functions import text as x
 from tamarind.functions import urls
 from tamarind.operators import joins, merge, similar
-from tamarind.session import table
+from tamarind.session import cut, table
 from tamarind.streaming import capture
 
 QUERIES: dict = {}
@@ -386,6 +388,39 @@ def lineage(s, d):
     return found.where("distance > 0").groupBy("start", F.col("distance").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
+_EDGES = """
+    e AS (SELECT 'payload:' || payload_hash AS src, 'record:' || record_key AS dst FROM capture_events UNION SELECT 'payload:' || payload_hash, 'record:' || key FROM records
+        UNION SELECT 'record:' || record_key, 'obs:' || observation_id FROM observations UNION SELECT 'record:' || record_a, 'cluster:' || cluster_id FROM cluster_edges UNION SELECT 'record:' || record_b, 'cluster:' || cluster_id FROM cluster_edges
+        UNION SELECT 'obs:' || observation_id, 'claim:' || claim_id FROM claims UNION SELECT 'obs:' || observation_id, 'loc:' || resolved_location_id FROM resolved_locations UNION SELECT 'claim:' || claim_id, 'price:' || price_observation_id FROM price_observations)"""
+
+
+def lineage_edges(s, d) -> DataFrame:
+    """``(src, dst)`` from what was taken to what was derived: payload, record, observation or cluster, claim or location, price."""
+    r, e, o, c, p, l, k = _t(s, d, "records", "capture_events", "observations", "claims", "price_observations", "resolved_locations", "cluster_edges")
+    name = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
+    some = lambda t, a, x, b, y: t.select(name(a, x).alias("src"), name(b, y).alias("dst"))
+    parts = [
+        some(e, "payload", "payload_hash", "record", "record_key"), some(r, "payload", "payload_hash", "record", "key"), some(o, "record", "record_key", "obs", "observation_id"), some(k, "record", "record_a", "cluster", "cluster_id"), some(k, "record", "record_b", "cluster", "cluster_id"),
+        some(c, "obs", "observation_id", "claim", "claim_id"), some(l, "obs", "observation_id", "loc", "resolved_location_id"), some(p, "claim", "claim_id", "price", "price_observation_id"),
+    ]
+    return reduce(DataFrame.unionByName, parts).where("src is not null and dst is not null").distinct()
+
+
+@query("j20_lineage_both", f"""
+    WITH RECURSIVE {_EDGES.strip()}, g AS (SELECT 'down' AS way, src, dst FROM e WHERE src IS NOT NULL AND dst IS NOT NULL UNION ALL SELECT 'up', dst, src FROM e WHERE src IS NOT NULL AND dst IS NOT NULL),
+        w AS (SELECT way, src AS start, dst AS node, 1 AS depth FROM g UNION SELECT w.way, w.start, g.dst, w.depth + 1 FROM w JOIN g ON g.way = w.way AND g.src = w.node)
+    SELECT start, way, depth, split_part(node, ':', 1) AS kind, count(*) AS nodes FROM w GROUP BY ALL""")
+def lineage_both(s, d):
+    """From every payload, record, observation, cluster, claim, location and price: what was derived from it (down) and what it was derived from (up), by distance and kind."""
+    edges = cut(lineage_edges(s, d))
+
+    def walked(way, g):
+        found = joins.walk(g, g.select(F.col("src").alias("node")), 4).where("distance > 0")
+        return found.groupBy("start", F.col("distance").alias("depth"), F.substring_index("node", ":", 1).alias("kind")).agg(F.count("*").alias("nodes")).select("start", F.lit(way).alias("way"), "depth", "kind", "nodes")
+
+    return walked("down", edges).unionByName(walked("up", edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+
+
 @query("j23_observation_detail", """
     SELECT o.observation_id, (SELECT list_sort(list(DISTINCT c.claim_id)) FROM claims c WHERE c.observation_id = o.observation_id) AS claims, (SELECT list_sort(list(DISTINCT p.price_observation_id)) FROM price_observations p WHERE p.observation_id = o.observation_id) AS prices FROM observations o""")
 def observation_detail(s, d):

@@ -186,6 +186,20 @@ def test_similar_names_and_walk(spark):
     assert got == {("a", 0), ("b", 1), ("c", 2), ("d", 3)}
 
 
+def test_lineage_walks_both_ways(spark, tmp_path):
+    rows = {
+        "records": ("key string, payload_hash string", [("f:1", "p1"), ("f:2", None)]), "capture_events": ("record_key string, payload_hash string", [("f:1", "p2"), ("f:1", "p1"), ("f:2", "p2")]), "observations": ("observation_id long, record_key string", [(7, "f:1")]),
+        "claims": ("claim_id long, observation_id long", [(8, 7)]), "price_observations": ("price_observation_id long, claim_id long", [(9, 8)]), "resolved_locations": ("resolved_location_id long, observation_id long", [(5, 7), (6, 7)]), "cluster_edges": ("cluster_id string, record_a string, record_b string", [("C", "f:1", "f:2")]),
+    }
+    for name, (schema, made) in rows.items():
+        spark.createDataFrame(made, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(x) for x in relational.QUERIES["j20_lineage_both"](spark, str(tmp_path)).collect()}
+    of = lambda start, way: {x[2:] for x in got if x[:2] == (start, way)}
+    assert of("record:f:1", "down") == {(1, "obs", 1), (1, "cluster", 1), (2, "claim", 1), (2, "loc", 2), (3, "price", 1)} and of("record:f:1", "up") == {(1, "payload", 2)}
+    assert of("price:9", "up") == {(1, "claim", 1), (2, "obs", 1), (3, "record", 1), (4, "payload", 2)} and of("cluster:C", "up") == {(1, "record", 2), (2, "payload", 2)}
+    assert of("payload:p2", "down") == {(1, "record", 2), (2, "obs", 1), (2, "cluster", 1), (3, "claim", 1), (3, "loc", 2), (4, "price", 1)}
+
+
 def test_simhash_links_lose_no_pair(spark):
     r = random.Random(6)
     base = [r.getrandbits(64) for _ in range(40)]
