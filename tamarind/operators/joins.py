@@ -68,7 +68,7 @@ def similar_names(left: DataFrame, right: DataFrame, key: str, name: str, least:
 
     def prefix(df, alias):
         n = F.size(f"g_{alias}")
-        keep = n - F.ceil(F.lit(least) * n / (2 - least)) + 1
+        keep = n - F.ceil(F.lit(least) * n / (2 - least) - 1e-9) + 1  # 0.6 * 7 / 1.4 in doubles is above 3
         exploded = df.select(alias, n.alias("size"), keep.alias("keep"), F.explode(f"g_{alias}").alias("g")).join(counts, "g")
         w = Window.partitionBy(alias).orderBy("n", "g")
         return exploded.withColumn("i", F.row_number().over(w)).where("i <= keep").select(alias, "g")

@@ -388,6 +388,19 @@ def lineage(s, d):
     return found.where("distance > 0").groupBy("start", F.col("distance").alias("depth")).agg(F.count("*").alias("nodes"))
 
 
+@query("j15_similar_places")
+def similar_places(s, d):
+    """Every distinct location text against all names of villages and districts: matches of a Dice score of at least 0.6 with their rank by level."""
+    c, v, u = _t(s, d, "claims", "villages", "districts")
+    texts = c.where("field = 'LOCATION_TEXT' and value_text is not null").select(F.col("value_text").alias("n")).distinct()
+    of = lambda t, level: t.select(F.lit(level).alias("level"), "code", F.explode(F.concat(F.array("name_lo", "name_en"), F.coalesce("name_variants", F.array().cast("array<string>")))).alias("n"))
+    names = of(v, "village").unionByName(of(u, "district")).where("n is not null").distinct()
+    keyed = lambda t: t.select(F.col("n").alias("k"), "n").distinct()
+    pairs = joins.similar_names(keyed(texts), keyed(names), "k", "n", 0.6)
+    best = pairs.join(names, pairs["b"] == names["n"]).groupBy(F.col("a").alias("text"), "level", "code").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("text", "level").orderBy(F.col("score").desc(), "code")))
+
+
 _EDGES = """
     e AS (SELECT 'payload:' || payload_hash AS src, 'record:' || record_key AS dst FROM capture_events UNION SELECT 'payload:' || payload_hash, 'record:' || key FROM records
         UNION SELECT 'record:' || record_key, 'obs:' || observation_id FROM observations UNION SELECT 'record:' || record_a, 'cluster:' || cluster_id FROM cluster_edges UNION SELECT 'record:' || record_b, 'cluster:' || cluster_id FROM cluster_edges

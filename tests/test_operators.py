@@ -153,6 +153,25 @@ def test_near_pairs_against_brute_force(spark):
     assert got == {(a[0], b[0]) for a in real for b in real if a[0] < b[0] and geometry.haversine_m(a[1], a[2], b[1], b[2]) <= 1500}
 
 
+def test_similar_names_at_the_very_bound(spark):
+    """Seven letter pairs against three of them score exactly 0.6, whichever of them are rare."""
+    names = ["abcdefgh", "abcd", "bcde", "cdef", "defg", "efgh"]
+    left = spark.createDataFrame([(0, names[0])], "k int, n string")
+    for rare in range(1, 6):
+        others = [(10 + i, n) for i, n in enumerate(names[1:], 1)] + [(100 + 10 * i + j, n[:2] + "xyz"[j % 3] * 7) for i, n in enumerate(names[1:], 1) if i != rare for j in range(3)]
+        got = {r["b"] for r in joins.similar_names(left, spark.createDataFrame(others, "k int, n string"), "k", "n").collect()}
+        assert set(range(11, 16)) <= got
+
+
+def test_location_texts_are_looked_up(spark, tmp_path):
+    spark.createDataFrame([("LOCATION_TEXT", "Phonxai"), ("LOCATION_TEXT", "Phonxai"), ("PRICE", "Phonxay"), ("LOCATION_TEXT", None)], "field string, value_text string").write.parquet(f"{tmp_path}/claims.parquet")
+    place = "code string, name_lo string, name_en string, name_variants array<string>"
+    spark.createDataFrame([("V1", "ໂພນໄຊ", "Phonxay", None), ("V2", "ວຽງ", "Vieng", ["Phonxai"])], place).write.parquet(f"{tmp_path}/villages.parquet")
+    spark.createDataFrame([("D1", "ໄຊ", "Phonxa", [])], place).write.parquet(f"{tmp_path}/districts.parquet")
+    got = {tuple(x) for x in relational.QUERIES["j15_similar_places"](spark, str(tmp_path)).select("text", "level", "code", "score", "rank").collect()}
+    assert got == {("Phonxai", "village", "V2", 1.0, 1), ("Phonxai", "village", "V1", 0.833333, 2), ("Phonxai", "district", "D1", 0.909091, 1)}
+
+
 def test_near_pairs_of_crowds(spark):
     r = random.Random(5)
     crowd = [(i, 18.0 + r.gauss(0, 0.0004), 102.5 + r.gauss(0, 0.0004)) for i in range(250)]
