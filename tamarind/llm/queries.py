@@ -11,7 +11,8 @@ QUERIES = {
     "p4_found": language.p4_found,
     "p8_packed": packing.p8_packed,
     "p8_fill": packing.p8_fill,
+    "p8_pieces": packing.p8_pieces,
     "p9_found": leakage.p9_found,
     "p10_found": residue.p10_found,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**packing.ORACLES}

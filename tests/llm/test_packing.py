@@ -3,7 +3,7 @@ from itertools import combinations
 
 import pytest
 
-from tamarind.llm.packing import CAPACITY, best_fit, bin_completion, completions, least_containers, packed
+from tamarind.llm.packing import CAPACITY, _Search, best_fit, bin_completion, least_containers, packed
 
 
 def optimum(sizes, capacity):
@@ -29,7 +29,7 @@ def optimum(sizes, capacity):
 def test_against_exhaustive_search(seed):
     r = random.Random(seed)
     sizes = [r.randint(15, 60) for _ in range(9)]
-    made = bin_completion(sizes, 100)
+    made = bin_completion(sizes, 100, None)
     assert sorted(sum(made, [])) == list(range(9)) and all(sum(sizes[i] for i in b) <= 100 for b in made)
     assert least_containers(sizes, 100) <= optimum(sizes, 100) <= len(made) <= len(best_fit(sizes, 100))
     assert len(made) == optimum(sizes, 100)
@@ -40,13 +40,40 @@ def test_completion_beats_best_fit():
     assert len(bin_completion(sizes, 100)) == 3
 
 
-def test_completions_fit_and_are_maximal():
-    sizes = sorted([5, 8, 13, 21, 34])
-    for chosen in completions(sizes, 40):
-        left = 40 - sum(sizes[k] for k in chosen)
-        assert left >= 0 and all(sizes[k] > left for k in range(5) if k not in chosen)
-    best = max(sum(c) for n in range(6) for c in combinations(sizes, n) if sum(c) <= 40)
-    assert sum(sizes[k] for k in completions(sizes, 40)[0]) == best
+def triples(n, capacity, seed):
+    """Sizes between a quarter and a half of the capacity of which three fill each of ``n`` containers exactly."""
+    r, out = random.Random(seed), []
+    while len(out) < 3 * n:
+        a, b = r.randint(capacity // 4 + 1, capacity // 2 - 1), r.randint(capacity // 4 + 1, capacity // 2 - 1)
+        if capacity // 4 < capacity - a - b < capacity // 2:
+            out += [a, b, capacity - a - b]
+    return out
+
+
+@pytest.mark.parametrize(("n", "capacity", "seed"), [(20, CAPACITY, 0), (20, CAPACITY, 1), (60, 1000, 0), (60, 1000, 1), (60, 1000, 2)])
+def test_exact_triples(n, capacity, seed):
+    sizes = triples(n, capacity, seed)
+    made = bin_completion(sizes, capacity, None)
+    assert len(best_fit(sizes, capacity)) > n == len(made)
+    assert sorted(sum(made, [])) == list(range(3 * n)) and all(sum(sizes[i] for i in b) <= capacity for b in made)
+
+
+@pytest.mark.parametrize(("sizes", "want"), [([2] * 1100 + [2731] * 900, 450), ([0] * 1100 + [2731] * 900, 450), ([1] * 2000, 1), ([0] * 5, 1), ([], 0), ([CAPACITY] * 3, 3), ([4097] * 7 + [4095] * 7, 7)])
+def test_many_equal_documents(sizes, want):
+    made = bin_completion(sizes)
+    assert len(made) == want == least_containers(sizes, CAPACITY) or not any(sizes)
+    assert len(made) == want and sorted(sum(made, [])) == list(range(len(sizes)))
+
+
+def test_fillings_are_complete():
+    sizes = sorted([5, 8, 13, 21, 34, 8])
+    search = _Search(sizes, 40, None)
+    some = {tuple(sorted(f)) for _, f in search.fillings(40, 40, 40)}
+    assert some == {tuple(sorted(sizes[k] for k in c)) for n in range(7) for c in combinations(range(6), n) if sum(sizes[k] for k in c) <= 40}
+    kept = list(search.fillings(40, 40))
+    assert [lost for lost, _ in kept] == sorted(lost for lost, _ in kept) and kept[0][0] == min(40 - sum(f) for f in some)
+    for f in some:  # every filling left out can be bettered by one that stays
+        assert any(lost <= 40 - sum(f) for lost, _ in kept)
 
 
 def test_query(spark):
