@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tamarind.functions import text as x
-from tamarind.operators.components import connected_groups
+from tamarind.operators.groups import connected
 from tamarind.session import cut
 
 #: Six blocks of the 64 bits: of two hashes that differ in at most three bits, three blocks are equal.
@@ -39,9 +39,8 @@ def similar_texts(rows: DataFrame, key: str, text: str, within: int = 3) -> Data
     per = hashed.where("h <> 0").groupBy("h").agg(F.count("*").alias("copies"))
     links = cut(simhash_links(per))
     degree = links.select(F.explode(F.array("a", "b")).alias("h")).groupBy("h").agg(F.count("*").alias("links"))
-    name = lambda c: F.lpad(F.hex(c), 16, "0")
-    groups = connected_groups(links.select(name(F.col("a")).alias("record_a"), name(F.col("b")).alias("record_b")))
-    of_hash = per.join(degree, "h", "left").withColumn("record_key", name(F.col("h"))).join(groups, "record_key", "left").select("h", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_key", "record_key").alias("g"))
+    groups = connected(links.select(F.col("a").alias("u"), F.col("b").alias("w"))).withColumnRenamed("v", "h")
+    of_hash = per.join(degree, "h", "left").join(groups, "h", "left").select("h", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("g", "h").alias("g"))
     placed = cut(hashed.join(of_hash, "h", "left"))
     least = placed.where("g is not null").groupBy("g").agg(F.min("key").alias("class_key"))
     return placed.join(least, "g", "left").select("key", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
