@@ -6,21 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tamarind.operators import components, spatial, units
+from tamarind.operators import spatial, units
 from tamarind.plans import relational
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = relational.QUERIES | {
-    "p5_found": components.p5_found,
     "p6_found": units.p6_found,
     "p7_found": spatial.p7_found,
 }
-ORACLES: dict[str, str] = relational.ORACLES | {
-    "p5_found": """
-        WITH RECURSIVE e AS (
-            SELECT record_a AS u, record_b AS w FROM cluster_edges WHERE record_a <> '' AND record_b <> ''
-            UNION SELECT record_b, record_a FROM cluster_edges WHERE record_a <> '' AND record_b <> ''),
-        reach(v, g) AS (SELECT u, u FROM e UNION SELECT e.w, r.g FROM reach r JOIN e ON e.u = r.v WHERE r.g < e.w)
-        SELECT v AS record_key, min(g) AS group_key FROM reach GROUP BY v""",
-}
+ORACLES: dict[str, str] = relational.ORACLES | {}
