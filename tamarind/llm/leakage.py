@@ -3,7 +3,8 @@
 Each shard of the corpus gets an FM-index over its letters, vowel and tone
 signs and digits.  The items are cut into blocks that any passage of the
 required length must hold whole; backward search finds the blocks, sampled
-suffix positions locate them, and every hit is widened and compared exactly.
+suffix positions locate them, and the items are laid on the text there and
+compared exactly, once for each place an item may begin at.
 """
 
 from __future__ import annotations
@@ -25,8 +26,12 @@ PASSAGE = 50
 BLOCK, STRIDE = 25, 26
 #: Signs of a shard; a longer single text makes shards that overlap by the longest item.
 SHARD = 1 << 20
-#: Items broadcast in one pass; more items are searched in further passes.
-ITEMS_PER_PASS = 5_000
+#: Items, and signs of their texts, broadcast in one pass; more items are searched in further passes over the corpus.
+ITEMS_PER_PASS, SIGNS_PER_PASS = 20_000, 32_000_000
+#: Hits of a phrase widened at once.
+AT_ONCE = 1 << 20
+#: Makes positions before a shard's begin whole numbers from 0: more than an item has signs.
+AWAY = 1 << 38
 
 
 class _Signs(dict):
@@ -81,43 +86,42 @@ class ItemBlocks:
         """Rows ``(item, start, end)`` of passages in a shard's signs, in which 0 parts the texts."""
         index = FMIndex(np.where(text == 0, 0, classes(text)))
         low, high = index.search(self.phrases)
-        hits = np.repeat(np.arange(len(low)), high - low)
-        if not len(hits):
+        hits = high - low
+        total = int((hits * self.count).sum())
+        if not total:
             return np.zeros((0, 3), dtype=np.int64)
-        rows = np.concatenate([np.arange(l, h) for l, h in zip(low[high > low], high[high > low])])
-        position = index.locate(rows)
-        # One row for each item place of the block that was hit.
-        n = self.count[hits]
-        which = np.repeat(self.first[hits], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, offset = self.places[which].T
-        position = np.repeat(position, n)
-        diagonal = np.unique(np.column_stack([item, position - offset, position]), axis=0)
-        item, shift, position = diagonal.T
-        offset = position - shift
-        base, end = self.at[item], self.at[item + 1]
-        same = np.ones(len(item), dtype=bool)
-        for j in range(BLOCK):
-            same &= text[position + j] == self.signs[base + offset + j]
-        item, shift, position, offset, base, end = (v[same] for v in (item, shift, position, offset, base, end))
-        left, right = position.copy(), position + BLOCK
-        live = np.arange(len(item))
-        while len(live):
-            p = left[live] - 1
-            q = base[live] + p - shift[live]
-            ok = (p >= 0) & (q >= base[live])
-            ok[ok] = text[p[ok]] == self.signs[q[ok]]
-            live = live[ok]
-            left[live] -= 1
-        live = np.arange(len(item))
-        while len(live):
-            p = right[live]
-            q = base[live] + p - shift[live]
-            ok = (p < len(text)) & (q < end[live])
-            ok[ok] = text[p[ok]] == self.signs[q[ok]]
-            live = live[ok]
-            right[live] += 1
-        long = right - left >= PASSAGE
-        return np.unique(np.column_stack([item, left, right])[long], axis=0)
+        # Diagonals (item, position of its first sign), made in parts of bounded size; a repeated sign hits often, but on few of them.
+        parts: list[np.ndarray] = []
+        for k in np.flatnonzero(hits):
+            own = self.places[self.first[k] : self.first[k + 1]]
+            step = max(1, AT_ONCE // len(own))
+            for at in range(int(low[k]), int(high[k]), step):
+                position = index.locate(np.arange(at, min(at + step, int(high[k]))))
+                parts.append(np.unique((own[None, :, 0] << 40) + (position[:, None] - own[None, :, 1] + AWAY)))
+                if len(parts) > 64:
+                    parts = [np.unique(np.concatenate(parts))]
+        found = []
+        for diagonal in np.unique(np.concatenate(parts)).tolist():
+            item, shift = diagonal >> 40, (diagonal & (1 << 40) - 1) - AWAY
+            # The item is laid on the text there; runs of equal signs are the passages.
+            first, last = max(0, -shift), min(int(self.at[item + 1] - self.at[item]), len(text) - shift)
+            same = np.zeros(last - first + 2, dtype=np.int8)
+            same[1:-1] = text[first + shift : last + shift] == self.signs[self.at[item] + first : self.at[item] + last]
+            edges = np.flatnonzero(np.diff(same))
+            for left, right in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if right - left >= PASSAGE:
+                    found.append((item, first + shift + left, first + shift + right))
+        if not found:
+            return np.zeros((0, 3), dtype=np.int64)
+        # Passages of an item that overlap or touch are one.
+        found.sort()
+        merged = [list(found[0])]
+        for item, left, right in found[1:]:
+            if item == merged[-1][0] and left <= merged[-1][2]:
+                merged[-1][2] = max(merged[-1][2], right)
+            else:
+                merged.append([item, left, right])
+        return np.array(merged, dtype=np.int64)
 
 
 def _source_span(text: str, signs: str, start: int, end: int) -> tuple[int, int]:
@@ -162,13 +166,19 @@ def leaked_passages(documents: DataFrame, items: DataFrame, *, key: str = "doc_i
     kind = dict(documents.dtypes)[key]
     schema = f"`{key}` {kind}, item_id long, span_start int, span_end int"
     rows = items.where(f"`{item}` is not null and text is not null").select(F.col(item).cast("long"), "text").orderBy(item)
-    passes: list[list[tuple[int, str]]] = [[]]
-    for r in rows.toLocalIterator():
-        if len(passes[-1]) >= ITEMS_PER_PASS:
-            passes.append([])
-        passes[-1].append((r[0], r[1]))
+
+    def passes():
+        part, size = [], 0
+        for r in rows.toLocalIterator():
+            if part and (len(part) >= ITEMS_PER_PASS or size + len(r[1]) > SIGNS_PER_PASS):
+                yield part
+                part, size = [], 0
+            part.append((r[0], r[1]))
+            size += len(r[1])
+        yield part
+
     out = None
-    for block in passes:
+    for block in passes():
         shared = documents.sparkSession.sparkContext.broadcast(block)
 
         def search(batches, shared=shared):

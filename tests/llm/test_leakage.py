@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -56,3 +57,11 @@ def test_long_texts_are_cut_without_loss(monkeypatch, spark):
     assert all(sum(len(p) + 1 for *_, p in x) <= 1001 for x in shards)
     found = sum(len(blocks.passages(np.concatenate([np.append(p, 0) for *_, p in x]).astype(np.uint32))) > 0 for x in shards)
     assert found >= 2
+
+
+def test_repeated_signs():
+    blocks = leakage.ItemBlocks([(1, "k" * 2_000), (2, "ha" * 300)])
+    text = np.concatenate([leakage._codes("k" * 20_000), [0], leakage._codes("x" + "ha" * 400), [0]]).astype(np.uint32)
+    began = time.perf_counter()
+    assert blocks.passages(text).tolist() == [[0, 0, 20_000], [1, 20_002, 20_802]]
+    assert time.perf_counter() - began < 5
