@@ -1,8 +1,9 @@
 """Problem 10: template residue, filler, error pages and script notices.
 
 Unfilled fields are found by one small grammar per delimiter.  A bracketed field
-must name something to be filled in; labels such as "[SOLD]" and blanks that the
-sentence itself speaks of do not count, nor does anything inside code.  Filler
+must name something to be filled in, unlike labels such as "[SOLD]".  Fields do
+not count inside code, in sentences that speak of blanks, templates or programs,
+and in texts with several words about programs.  Filler
 and messages count by density: they must stand in place of content, that is,
 what the text holds beside them must be less than they are.
 """
@@ -51,6 +52,13 @@ _BRACKET = re.compile(r"(?<!\[)\[([^\[\]\n]{2,60})\](?!\]|\()|<([^\W\d][^<>\n=/\
 _SPEAKS_OF = re.compile(
     r"(?i)\b(?:blanks?|fill (?:them|it|in|out)|by hand|placeholder|template|syntax|variable|replace[sd]? with|form has)\b|ຟອມ|ແບບຟອມ|ດ້ວຍມື|ຊ່ອງ|แบบฟอร์ม|ช่อง|ด้วยมือ|กรอกด้วย|表格|手写|空格|填表|formulaire|à la main|mẫu đơn|biểu mẫu|đơn có|ô trống|bằng tay|điền tay"
 )
+#: Words of writing about programs and templates; a text with several of them explains fields, and leaves none unfilled.
+_PROGRAMS = re.compile(
+    r"(?i)\b(?:python|javascript|typescript|java|ruby|php|bash|shell|jinja2?|mustache|handlebars|django|liquid|f-?strings?|template engine|templating|syntax|variables?|functions?|methods?|constructors?|dunder|interpolat\w+|substitut\w+|placeholders?|tutorials?|snippets?|"
+    r"compilers?|source code|render(?:s|ed|ing)?|parsers?|config(?:uration)? files?|environment variables?|command line|regex\w*|delimiters?|escap(?:e|es|ed|ing)|format strings?|printf|markdown|base path|repository|arguments?|parameters?|literals?)\b|ຕົວແປ|ตัวแปร|变量|语法|模板|biến|cú pháp|variable"
+)
+_NAMED_AS = re.compile(r"(?i)\b(?:use|using|write|writing|written as|type|typing|called|named|expression|token|marker|tag)\s+[\"'“‘(]?$")
+_NAMED_BY = re.compile(r"(?i)^[\"'”’)]?\s+(?:methods?|functions?|variables?|placeholders?|tags?|tokens?|attributes?|filters?|class|modules?|arguments?|parameters?|expressions?|directives?|markers?|notation|syntax|is (?:replaced|substituted|expanded|filled|rendered))\b")
 _CODE = re.compile(r"(?s)```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|<(code|pre)\b.*?(?:</\1>|\Z)|`[^`\n]{1,200}`|^(?: {4}|\t)\S[^\n]*$", re.M)
 _SENTENCE = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])")
 
@@ -68,15 +76,15 @@ _FILLER = re.compile(
 # Messages in place of content, by language: what is asked or reported, in the words of the page itself.
 _SCRIPT = r"(?:java ?script|\bjs\b|\bscripts?\b|\bscripting\b|no ?script|ສະຄຣິບ|ສະຄິບ|สคริปต์|สคริปท์|脚本)"
 _SCRIPT_ASKS = (
-    r"(?:enabl|activ|turn(?:ed)? (?:it |them )?(?:on|off)|allow|requir|support|disabl|switch(?:ed)? (?:on|off)|blocked|need|must|nécessit|désactiv|activez|bật|tắt|cần|ເປີດ|ປິດ|ຕ້ອງການ|เปิด|ปิด|ต้อง|启用|开启|禁用|关闭|需要|支持)"
+    r"(?:enabl|activ|habilit|aktiv|turn(?:ed)? (?:it |them )?(?:on|off)|allow|requir|support|disabl|switch(?:ed)? (?:on|off)|blocked|need|must|nécessit|désactiv|activez|bật|tắt|cần|ເປີດ|ປິດ|ຕ້ອງການ|เปิด|ปิด|ต้อง|启用|开启|禁用|关闭|需要|支持)"
 )
 MESSAGES = [
     # cookies and checks; scripts are asked for by two words of one sentence, see _SCRIPTS
     r"cookies? .{0,30}(?:must be|to go on|to continue|enabled|allowed)|checking your browser|verify(?:ing)? (?:that )?you are (?:a )?human|unusual traffic|are you a robot|captcha",
     # errors
-    r"\b(?:error|http|code|status|erreur|lỗi|mã)\s*:?\s*(?:4\d\d|5\d\d)\b|\b(?:40[0-9]|410|429|50[0-4])\b[ \-:.|]*(?:not found|bad gateway|forbidden|error|gateway|service|internal|unauthori[sz]ed|too many|page|gone|-)|\"error\"\s*:|错误代码|รหัสข้อผิดพลาด|ລະຫັດຂໍ້ຜິດພາດ",
+    r"\b(?:error|http|code|status|erreur|fehler|errore|lỗi|mã)\s*:?\s*(?:4\d\d|5\d\d)\b|\b(?:40[0-9]|410|429|50[0-4])\b[ \-:.|]*(?:not found|bad gateway|forbidden|error|gateway|service|internal|unauthori[sz]ed|too many|page|gone|-)|\"error\"\s*:|错误代码|รหัสข้อผิดพลาด|ລະຫັດຂໍ້ຜິດພາດ",
     r"(?:page|file|url|object|site)\b.{0,30}(?:not found|could(?:n't| not) be found|cannot be (?:shown|displayed|found)|does(?:n't| not) exist|not available)|internal server error|bad gateway|gateway time-?out|service (?:temporarily )?unavailable|maintenance window|too many requests|error establishing|traceback\b|fatal(?: error)?:|undefined (?:index|variable)|exception in|stack trace|database connection|upstream timed|connection (?:refused|reset|timed out)|something went wrong|an? (?:unexpected |unknown )?error (?:has )?occurred|temporarily down|under maintenance",
-    r"ລະບົບຂັດຂ້ອງ|ເກີດຂໍ້ຜິດພາດ|ບໍ່ພົບໜ້າ|ບໍ່ພົບຫນ້າ|ລອງໃໝ່ພາຍຫຼັງ|ບໍ່ສາມາດສະແດງ|ระบบขัดข้อง|เกิดข้อผิดพลาด|ไม่พบหน้า|ลองใหม่ภายหลัง|ไม่สามารถแสดง|页面不存在|找不到(?:该|您|页面)|无法显示|网络异常|服务器错误|系统(?:繁忙|错误)|稍后(?:再试|重试)|une erreur est survenue|page (?:demandée )?(?:est )?introuvable|réessayer plus tard|trang .{0,12}không tồn tại|không tìm thấy trang|lỗi máy chủ|thử lại sau|đã xảy ra lỗi",
+    r"ລະບົບຂັດຂ້ອງ|ເກີດຂໍ້ຜິດພາດ|ບໍ່ພົບໜ້າ|ບໍ່ພົບຫນ້າ|ລອງໃໝ່ພາຍຫຼັງ|ບໍ່ສາມາດສະແດງ|ระบบขัดข้อง|เกิดข้อผิดพลาด|ไม่พบหน้า|ลองใหม่ภายหลัง|ไม่สามารถแสดง|页面不存在|找不到(?:该|您|页面)|无法显示|网络异常|服务器错误|系统(?:繁忙|错误)|稍后(?:再试|重试)|une erreur est survenue|page (?:demandée )?(?:est )?introuvable|réessayer plus tard|trang .{0,12}không tồn tại|không tìm thấy trang|lỗi máy chủ|thử lại sau|đã xảy ra lỗi|seite nicht gefunden|página no encontrada|pagina non trovata",
     # log-in, permission and blocks
     r"(?:log|sign) ?in (?:to|first|required)|please (?:log|sign) in|you must (?:log|sign|be a member|be logged)|session .{0,25}(?:expired|timed out)|access (?:is )?denied|permission to (?:view|access)|forbidden|account (?:has been )?(?:suspended|blocked|disabled)|your (?:ip|account|access) .{0,25}blocked|members only",
     r"ກະລຸນາເຂົ້າສູ່ລະບົບ|ເຂົ້າສູ່ລະບົບກ່ອນ|ກະລຸນາລັອກອິນ|ບໍ່ມີສິດ(?:ເຂົ້າ|ເບິ່ງ)|กรุณาเข้าสู่ระบบ|เข้าสู่ระบบ(?:ก่อน|อีกครั้ง|เพื่อ)|เซสชัน.{0,6}หมดอายุ|ไม่มีสิทธิ์|ถูกระงับ|请(?:先)?登录|登录后|无权(?:访问|查看)|访问被拒绝|会话.{0,4}过期|veuillez vous connecter|connectez-vous|accès (?:refusé|interdit)|session (?:a )?expiré|vui lòng đăng nhập|đăng nhập để|phiên .{0,16}hết hạn|không có quyền",
@@ -200,10 +208,24 @@ def _any_of(phrases: tuple[int, ...]) -> re.Pattern:
     return re.compile("(?i)" + ("|".join(f"(?:{_PHRASES[k]})" for k in phrases) or r"(?!)"))
 
 
-#: Words of somebody telling of a message, not the message.
-_TOLD = re.compile(
-    r"(?i)\b(?:my|i|i'm|i've|we phoned|he|she|yesterday|last (?:week|month|year)|for two days|which (?:is why|took)|asked (?:why|whether)|the office|the broker|members asked)\b|ເມື່ອວານ|ມື້ວານ|ຂ້ອຍ|ເລີຍ(?:ຕ້ອງ|ໂທ)|ໄວ້ ?$|ໃນໂທລະສັບ|เมื่อวาน|ผม|ฉัน|ดิฉัน|เลย(?:ต้อง|ไม่)|昨天|我(?:的|们)?|所以|hier\b|mon\b|ma\b|j'ai|je\b|nous avons|hôm qua|tôi|chúng tôi|nên phải"
-)
+# Somebody telling of a message, not the message: by who tells, by reporting in the past, by when it was, by what followed.
+_TELLER = re.compile(r"(?i)\b(?:i|i'm|i've|my|me|he|she|his|her)\b|ຂ້ອຍ|ຂ້າພະເຈົ້າ|ເລີຍ|ເພາະ|ຍ້ອນ|ผม|ฉัน|เลย|เพราะ|我|所以|因为|\b(?:je|j'ai|mon|ma|mes|il|elle)\b|\btôi\b")
+_TELLS = [
+    re.compile(r"(?i)\b(?:we|our|us|they|their|members|owner|broker|agent|seller|buyer|neighbou?r|office|nous|notre|ils|elles|chúng ta|họ)\b|ພວກເຮົາ|ເຂົາເຈົ້າ|เรา|พวกเขา|咱们|他们"),
+    re.compile(r"(?i)\b(?:showed|shown|said|saw|kept|keeps|got|gave|asked|told|complained|reported|returned|appeared|came|threw|read|went|tried|called|phoned|rang|waited|took|affichait|montrait|disait|a affiché|hiện ra|báo)\b"),
+    re.compile(r"(?i)\b(?:yesterday|last (?:night|week|month|year)|(?:for|in|after) (?:\d+|a|an|one|two|three|several|some|many) (?:minutes?|hours?|days?|weeks?|months?)|(?:this|that) (?:morning|evening|week)|when|while|whenever|hier|la semaine|pendant|hôm qua|tuần trước|khi)\b|ເມື່ອວານ|ມື້ວານ|ອາທິດແລ້ວ|ตอน|เมื่อวาน|สัปดาห์|昨天|上周|时候"),
+    re.compile(r"(?i)\b(?:so|because|which is why|that is why|whether|why|instead|therefore|but|donc|alors|parce|nên|vì|nhưng)\b"),
+]
+#: A site that speaks of itself.
+_SITE = re.compile(r"(?i)\bwe(?:'re| are)? (?:noticed|detected|sorry|could(?:n't| not)|can(?:'t|not)|have|were unable)\b[^,.;]*|\bon our (?:side|end)\b")
+
+
+def _tells(sentence: str, message: re.Pattern) -> bool:
+    """Whether the words beside the message tell of it."""
+    beside = _SITE.sub(" ", message.sub(" ", sentence))
+    return _TELLER.search(beside) is not None or sum(p.search(beside) is not None for p in _TELLS) >= 2
+
+
 _NAVIGATION = re.compile(r"(?i)^(?:[^|\n]{1,30}\|){1,6}[^|\n]{1,30}$|^©.{0,60}$|^(?:nginx|apache)\b.{0,20}$|^(?:home|back|ກັບ|ກັບໄປ|กลับ(?:ไป)?หน้าแรก|返回|retour|quay lại|trang chủ|ref|ray|incident|host)\b.{0,40}$")
 
 
@@ -212,18 +234,20 @@ def _letters(s: str) -> int:
 
 
 def unfilled_field(text: str) -> str | None:
-    """The first field left unfilled outside code and outside sentences that speak of fields; else None."""
+    """A field left unfilled outside code, in a text and a sentence that do not speak of fields; else None."""
     if not _FIELD_SIGNS.search(text):
         return None
     plain = _CODE.sub(lambda m: "\n" * m[0].count("\n"), text) if "`" in text or "~~~" in text or "<pre" in text or "<code" in text or "\n    " in text or "\n\t" in text else text
-    for m in _FIELD.finditer(plain):
-        return m[0]
-    for m in _BRACKET.finditer(plain):
-        if _ASKING.search((m[1] or m[2]).strip()):
-            start = max(plain.rfind(c, 0, m.start()) for c in "\n.!?。") + 1
-            stops = [i for i in (plain.find(c, m.end()) for c in "\n.!?。") if i >= 0]
-            if not _SPEAKS_OF.search(plain[start : min(stops, default=len(plain))]):
-                return m[0]
+    fields = list(_FIELD.finditer(plain)) + [m for m in _BRACKET.finditer(plain) if _ASKING.search((m[1] or m[2]).strip())]
+    if not fields or len({w.lower() for w in _PROGRAMS.findall(_FIELD.sub(" ", plain))}) >= 4:
+        return None
+    for m in fields:
+        start = max(plain.rfind(c, 0, m.start()) for c in "\n.!?。") + 1
+        stops = [i for i in (plain.find(c, m.end()) for c in "\n.!?。") if i >= 0]
+        before, after = plain[start : m.start()], plain[m.end() : min(stops, default=len(plain))]
+        said = _FIELD.sub(" ", before + " " + after)
+        if not (_SPEAKS_OF.search(said) or _PROGRAMS.search(said) or _NAMED_AS.search(before) or _NAMED_BY.search(after)):
+            return m[0]
     return None
 
 
@@ -271,7 +295,7 @@ def message_instead(text: str, message: re.Pattern = _MESSAGE) -> bool:
     for k, s in enumerate(parts):
         n = _letters(s)
         if (message.search(s) or _SCRIPTS.search(s) and _ASKS.search(s)):
-            if _TOLD.search(s):
+            if _tells(s, message):
                 told += n
             else:
                 said += min(max(n, 4), LONGEST_MESSAGE)
