@@ -5,8 +5,8 @@ Values and names are folded to one spelling per script: Lao without tone marks
 differences between romanisations.  A multi-pattern automaton over the folded
 names and aliases of villages and districts finds embedded mentions, the
 longest not overlapping ones win.  Values without a mention go to token-set
-similarity of letter pairs; the best entry is taken where its typing distance
-is small and clearly smaller than the next entry's.
+similarity over letter pairs; the most similar entry is taken where it is
+similar enough and the next one clearly less so.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter, defaultdict
+from uuid import uuid4
 
 import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +39,14 @@ _LATIN_FOLDS = [
         ("(?:ou|eu|u|ue)e?a", "ua"), ("oo|ou|eu|ue", "u"), ("ae", "e"), ("e[ovu](?![a-z]*[aeiou]u)", "eo"), ("a[oy]y?u?(?=[^aeiou]|$)", lambda m: "ao" if m[0][1] == "o" else "ai"), ("ay", "ai"), ("(.)\\1+", r"\1"), ("r", "l"),
     )
 ]
-_TYPED = re.compile(r"[^\W\d_]")
+#: Similarity that an entry needs: in the district that was named, without one; and how much the next entry must be behind.
+LEAST, SURE, APART = 0.4, 0.5, 0.03
+#: Slips of typing that an entry may be away in the district that was named; without one it is a single slip.
+SLIPS = 2
+#: Distinct values that a task resolves.
+VALUES_PER_TASK = 50_000
+#: Most names that are broadcast: some 100 MB; a longer list is refused, not cut.
+MOST_NAMES = 1_000_000
 
 
 def fold_latin(s: str) -> str:
@@ -62,10 +70,19 @@ def fold_lao(s: str) -> str:
     return s
 
 
-def _typing_distance(a: str, b: str, limit: int) -> int:
-    """Least number of insertions, deletions, replacements and swaps of neighbours; limit + 1 if more."""
-    if abs(len(a) - len(b)) > limit:
-        return limit + 1
+def _tokens(s: str) -> frozenset[str]:
+    """The token set of a name: its pairs of letters next to each other and next but one, numbered where they come again; begin and end marked."""
+    s, seen, out = f"^{s}$", Counter(), []
+    for t in [*(s[i : i + 2] for i in range(len(s) - 1)), *(f"{s[i]}_{s[i + 2]}" for i in range(len(s) - 2))]:
+        seen[t] += 1
+        out.append(f"{t}{seen[t]}")
+    return frozenset(out)
+
+
+def slips(a: str, b: str, most: int) -> int:
+    """Least number of insertions, deletions, replacements and swaps of neighbours; most + 1 if more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
     before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         older, before, row = before, row, [i]
@@ -74,52 +91,34 @@ def _typing_distance(a: str, b: str, limit: int) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
                 d = min(d, older[j - 2] + 1)
             row.append(d)
-        if min(row) > limit and (before is None or min(before) > limit):
-            return limit + 1
-    return min(row[-1], limit + 1)
+    return min(row[-1], most + 1)
+
 
+class SimilarNames:
+    """Names by token-set similarity: twice the common letter pairs over all (Dice).
 
-def _pairs(s: str) -> frozenset[str]:
-    s = f"^{s}$"
-    return frozenset(s[i : i + 2] for i in range(len(s) - 1))
+    A name that reaches ``LEAST`` shares one of the rarest pairs that it cannot do without, so only
+    the names filed under these are compared, however long the list.
+    """
 
+    def __init__(self, names):
+        self.tokens = {n: _tokens(n) for n in names}
+        self.count = Counter(p for pairs in self.tokens.values() for p in pairs)
+        self.filed = defaultdict(list)
+        for n, pairs in self.tokens.items():
+            for p in self._rarest(pairs):
+                self.filed[p].append(n)
 
-def name_parts(names: set[str], least: int = 6) -> set[str]:
-    """Parts of which the names of a list are made up.
+    def _rarest(self, pairs: frozenset[str]) -> list[str]:
+        needed = -int(-LEAST * len(pairs) / (2 - LEAST) // 1)
+        return sorted(pairs, key=lambda p: (self.count[p], p))[: len(pairs) - needed + 1]
 
-    Candidates are strings of two letters or more that often begin and often end a name; those stay
-    that are needed often when every name is split into the fewest candidates.
-    """
-    begins, ends = Counter(), Counter()
-    for n in names:
-        for k in range(2, len(n) - 1):
-            begins[n[:k]] += 1
-            ends[n[-k:]] += 1
-    parts = {p for p in begins if begins[p] >= least and ends[p] >= least}
-    longest = max(map(len, parts), default=0)
-    used: Counter[str] = Counter()
-    for n in names:
-        best: list[tuple[int, int, int] | None] = [(0, 0, 0)] + [None] * len(n)
-        for i in range(1, len(n) + 1):
-            for k in range(2, min(longest, i) + 1):
-                if best[i - k] is not None and n[i - k : i] in parts:
-                    piece = n[i - k : i]
-                    option = (best[i - k][0] + 1, best[i - k][1] - min(begins[piece], ends[piece]), k)
-                    if best[i] is None or option[:2] < best[i][:2]:
-                        best[i] = option
-        i = len(n)
-        while i and best[i] is not None:
-            used[n[i - best[i][2] : i]] += 1
-            i -= best[i][2]
-    return {p for p in parts if used[p] >= least}
-
-
-def count_parts(s: str, parts: set[str], longest: int) -> int:
-    """Most parts that a string can be split into; 0 where it can't."""
-    most = [0] + [-1] * len(s)
-    for i in range(1, len(s) + 1):
-        most[i] = max((most[i - k] + 1 for k in range(2, min(longest, i) + 1) if most[i - k] >= 0 and s[i - k : i] in parts), default=-1)
-    return max(most[-1], 0)
+    def above(self, name: str, least: float) -> list[tuple[float, str]]:
+        """``(similarity, name)`` of all names of at least that similarity, the greatest first."""
+        own = _tokens(name)
+        met = {n for p in self._rarest(own) for n in self.filed.get(p, ())}
+        scored = ((2 * len(own & self.tokens[n]) / (len(own) + len(self.tokens[n])), n) for n in met)
+        return sorted((x for x in scored if x[0] >= least), key=lambda x: (-x[0], x[1]))
 
 
 # Words around a name, in folded form of their script; they say that a village or a district follows or came before.
@@ -134,7 +133,8 @@ _AFFIX = re.compile(
 class PlaceIndex:
     """Automaton and similarity index over the names of villages and districts.
 
-    ``villages`` and ``districts`` are ``(code, parent, names)``; a name may be borne by several.
+    ``villages`` and ``districts`` are ``(code, parent, names)``; a name may be borne by several.  Names
+    of one or two letters are found where they are all that stands between other words.
     """
 
     def __init__(self, villages, districts):
@@ -145,9 +145,9 @@ class PlaceIndex:
             for code, _parent, names in rows:
                 for n in names:
                     for script, fold in (("lao", fold_lao), ("latin", fold_latin)):
-                        if len(f := fold(n or "")) >= 3:
+                        if f := fold(n or ""):
                             into[script][f].add(code)
-        self.automata, self.parts, self.longest, self.least, self.by_pair = {}, {}, {}, {}, {}
+        self.automata, self.near, self.near_district = {}, {}, {}
         for script in ("lao", "latin"):
             a = ahocorasick.Automaton()
             for kind, source in (("D", self.districts), ("V", self.names)):
@@ -156,22 +156,14 @@ class PlaceIndex:
             if len(a):
                 a.make_automaton()
             self.automata[script] = a
-            self.parts[script] = name_parts(set(self.names[script]))
-            self.longest[script] = max(map(len, self.parts[script]), default=0)
-            counts = Counter(count_parts(n, self.parts[script], self.longest[script]) for n in self.names[script])
-            self.least[script] = max((k for k in counts if k), key=lambda k: counts[k], default=1)
-            pairs = defaultdict(list)
-            for n in self.names[script]:
-                for p in _pairs(n):
-                    pairs[p].append(n)
-            self.by_pair[script] = pairs
+            self.near[script], self.near_district[script] = SimilarNames(self.names[script]), SimilarNames(self.districts[script])
 
     def mentions(self, folded: str, script: str) -> list[tuple[int, int, str]]:
         """Longest mentions that don't overlap: ``(start, end, kinds)``."""
         a = self.automata[script]
         if not len(a) or not folded:
             return []
-        found = sorted(((end + 1 - n, end + 1, kinds) for end, (kinds, n) in a.iter(folded)), key=lambda m: (m[0] - m[1], m[0]))
+        found = sorted(((end + 1 - n, end + 1, kinds) for end, (kinds, n) in a.iter(folded) if n > 2 or n == len(folded)), key=lambda m: (m[0] - m[1], m[0]))
         taken: list[tuple[int, int, str]] = []
         for m in found:
             if all(m[1] <= t[0] or m[0] >= t[1] for t in taken):
@@ -179,42 +171,16 @@ class PlaceIndex:
         return sorted(taken)
 
     def _similar(self, name: str, script: str, within: set[str]) -> set[str]:
-        """Codes of the entry nearest to a mistyped name, or none where no entry is clearly nearest."""
-        own = _pairs(name)
-        shared = Counter(n for p in own for n in self.by_pair[script].get(p, ()))
-        limit = 1 if len(name) < 6 else 3 if within and len(name) >= 8 else 2
-        best: list[tuple[int, float, str]] = []
-        for n, k in shared.items():
-            dice = 2 * k / (len(own) + len(n) + 1)
-            if dice < 0.4 or within and not any(self.parent[c] in within for c in self.names[script][n]):
-                continue
-            if (d := _typing_distance(name, n, limit)) <= limit:
-                best.append((d, -dice, n))
-        if not best:
-            return set()
-        best.sort()
-        codes = self.names[script][best[0][2]]
-        if best[0][0] > 1 and self._one_slip_from_another(name, script):
+        """Codes of the most similar entry, in a district if one was named; none where another comes close."""
+        # An exact check follows the similarity: no more slips of typing than SLIPS, one without a district.
+        most = SLIPS if within else 1
+        found = [(d, self.names[script][n]) for d, n in self.near[script].above(name, LEAST) if slips(name, n, most) <= most]
+        if within:
+            found = [(d, c) for d, codes in found if (c := {x for x in codes if self.parent[x] in within})]
+        if not found or found[0][0] < (LEAST if within else SURE):
             return set()
-        rivals = [b for b in best[1:] if self.names[script][b[2]] != codes]
-        if rivals and rivals[0][0] <= best[0][0] and not (rivals[0][0] == best[0][0] and best[0][1] < rivals[0][1] - 0.12):
-            return set()
-        return codes
-
-    def _one_slip_from_another(self, name: str, script: str) -> bool:
-        """Whether one slip of typing away from ``name`` stands a well-formed name that is not listed."""
-        parts, longest, least, listed = self.parts[script], self.longest[script], self.least[script], self.names[script]
-        signs = sorted({c for p in parts for c in p})
-        for i in range(len(name) + 1):
-            a, b = name[:i], name[i:]
-            tried = [a + c + b for c in signs]
-            if b:
-                tried += [a + b[1:], *(a + c + b[1:] for c in signs)]
-            if len(b) > 1:
-                tried.append(a + b[1] + b[0] + b[2:])
-            if any(count_parts(t, parts, longest) >= least and t not in listed for t in tried):
-                return True
-        return False
+        rival = next((d for d, codes in found if codes != found[0][1]), 0.0)
+        return found[0][1] if found[0][0] - rival >= APART else set()
 
     def resolve(self, value: str | None) -> str:
         """Code of the one village that a value means, else ``UNMATCHED``."""
@@ -244,12 +210,9 @@ class PlaceIndex:
         codes = set().union(*exact) if exact else set()
         if not codes:
             for rest, script in sorted(left, key=lambda r: -len(r[0])):
-                near = {c for n, cs in self.districts[script].items() if _typing_distance(rest, n, 1) <= 1 for c in cs} if not districts else set()
-                if near:
-                    districts |= near
+                if not districts and (near := self.near_district[script].above(rest, SURE)):
+                    districts |= self.districts[script][near[0][1]]
                     continue
-                if count_parts(rest, self.parts[script], self.longest[script]) >= self.least[script]:
-                    continue  # well typed, but no entry
                 if codes := self._similar(rest, script, districts) or (self._similar(rest, script, set()) if districts else set()):
                     break
         if len(codes) > 1 and districts:
@@ -275,21 +238,34 @@ def map_places(values: DataFrame, villages: DataFrame, districts: DataFrame, *,
     named = F.concat(F.array("name_lo", "name_en"), F.coalesce("name_variants", F.array().cast("array<string>")))
     v = [(r[0], r[1], [n for n in r[2] if n]) for r in villages.where("code is not null").select("code", "district_code", named).orderBy("code").collect()]
     d = [(r[0], None, [n for n in r[1] if n]) for r in districts.where("code is not null").select("code", named).orderBy("code").collect()]
-    shared = values.sparkSession.sparkContext.broadcast((v, d))
+    if sum(len(r[2]) for r in v) + sum(len(r[2]) for r in d) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names; map the values list by list")
+    shared, mark = values.sparkSession.sparkContext.broadcast((v, d)), uuid4().hex
 
     def run(batches):
-        index = PlaceIndex(*shared.value)
+        index = _index(mark, shared)
         for b in batches:
             yield frame(**{value: b[value]}, village_code=[index.resolve(t) for t in b[value]])
 
     return values.select(value).mapInPandas(run, f"`{value}` string, village_code string")
 
 
+_INDEXES: dict[str, PlaceIndex] = {}
+
+
+def _index(mark: str, shared) -> PlaceIndex:
+    """The index of a list, built once in each worker."""
+    if mark not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[mark] = PlaceIndex(*shared.value)
+    return _INDEXES[mark]
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per LOCATION_TEXT claim; every distinct value is resolved once."""
     claims = table(spark, sf_dir, "claims").where("field = 'LOCATION_TEXT' and claim_id is not null").groupBy("claim_id").agg(F.min("value_text").alias("value_text"))
     distinct = claims.where("value_text is not null").select("value_text").distinct()
-    # The values are few bytes but long work each: spread by count, not by size.
-    distinct = distinct.repartition(2 * spark.sparkContext.defaultParallelism)
+    # The values are few bytes but long work each: spread by count, not by size; a task has at most some VALUES_PER_TASK.
+    distinct = distinct.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-distinct.count() // VALUES_PER_TASK)))
     mapped = map_places(distinct, table(spark, sf_dir, "villages"), table(spark, sf_dir, "districts"))
     return claims.join(mapped, "value_text", "left").select("claim_id", F.coalesce("village_code", F.lit(UNMATCHED)).alias("village_code"))
