@@ -26,17 +26,23 @@ from tamarind.session import table
 
 # Letters that look like a Latin letter, by script.
 CYRILLIC_LOOKS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝҮүӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwYyl"))
-GREEK_LOOKS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϲϳ", "ABEZHIKMNOPTYXocj"))
+GREEK_LOOKS = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαγικνορστυχοϲϳ", "ABEZHIKMNOPTYXayiknopotuxocj"))
 ARMENIAN_LOOKS = dict(zip("ՕՍօսհոցզ", "OUouhngq"))
 CHEROKEE_LOOKS = dict(zip("ᎪᏟᎬᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃᏴᎡᏒᏔ", "ACEHJKLMPSTVWZBRRW"))
-LOOKS = {"CYRILLIC": CYRILLIC_LOOKS, "GREEK": GREEK_LOOKS, "ARMENIAN": ARMENIAN_LOOKS, "CHEROKEE": CHEROKEE_LOOKS}
+COPTIC_LOOKS = dict(zip("ⲎⲒⲔⲘⲚⲞⲢⲤⲦⲬⲟⲣⲥ", "HIKMNOPCTXopc"))
+LISU_LOOKS = dict(zip("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"))
+LOOKS = {"CYRILLIC": CYRILLIC_LOOKS, "GREEK": GREEK_LOOKS, "ARMENIAN": ARMENIAN_LOOKS, "CHEROKEE": CHEROKEE_LOOKS, "COPTIC": COPTIC_LOOKS, "LISU": LISU_LOOKS}
+# Latin letters that look like a plain one.
+LATIN_LOOKS = dict(zip("ɑɡıȷ", "agij"))
 LATIN_OF = {c: l for looks in LOOKS.values() for c, l in looks.items()}
 LIKE_LATIN = {script: {l: c for c, l in looks.items()} for script, looks in LOOKS.items()}
+# Scripts written together, each of which stands for all of its languages' scripts.
+WRITTEN_WITH = {"CJK": {"CJK", "JAPANESE", "KOREAN", "BOPOMOFO"}, "HIRAGANA": {"HIRAGANA", "JAPANESE"}, "KATAKANA": {"KATAKANA", "JAPANESE"}, "HANGUL": {"HANGUL", "KOREAN"}, "BOPOMOFO": {"BOPOMOFO"}}
 HYPHENS = "‐‑﹣－"
 SPECIALS = {"ຳ": "ໍາ", "ำ": "ํา", "ໜ": "ຫນ", "ໝ": "ຫມ", "ເເ": "ແ", "เเ": "แ"}
 
 _FOREIGN = re.compile("[" + "".join(LATIN_OF) + "]")
-_TOKEN = re.compile(r"[^\W\d_]+")
+_TOKEN = re.compile(r"(?:[^\W\d_]|[̀-ͯ])+")
 _MARKS = re.compile("[ັິ-ຼ່-໎]{2,}|[ัิ-ฺ็-๎]{2,}")
 _TWO_E = re.compile("ເເ|เเ")
 
@@ -49,6 +55,8 @@ class _Table(dict):
         kind = unicodedata.category(ch)
         if ch in SPECIALS:
             to = SPECIALS[ch]
+        elif ch in LATIN_LOOKS:
+            to = LATIN_LOOKS[ch]
         elif ch in HYPHENS:
             to = "-"
         elif kind == "Cf" and ch != "‍" or "︀" <= ch <= "️":
@@ -57,7 +65,7 @@ class _Table(dict):
             to = " "
         else:
             tag = unicodedata.decomposition(ch)
-            to = unicodedata.normalize("NFKC", ch) if tag.startswith(("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>")) or "ﬀ" <= ch <= "ﬆ" else ch
+            to = unicodedata.normalize("NFKC", ch) if tag.startswith(("<wide>", "<narrow>", "<noBreak>", "<isolated>", "<initial>", "<medial>", "<final>", "<font>")) or "ﬀ" <= ch <= "ﬆ" or "Ⅰ" <= ch <= "ⅿ" else ch
         self[code] = to
         return to
 
@@ -66,23 +74,29 @@ _table = _Table()
 
 
 @lru_cache(maxsize=65536)
-def _script(ch: str) -> str:
-    return unicodedata.name(ch, "?").split(" ")[0]
+def _script(ch: str) -> str | None:
+    """The script of a letter by its name; None for marks, signs and digits, which belong to every script."""
+    if unicodedata.category(ch)[0] != "L":
+        return None
+    name = unicodedata.name(ch, "?").split(" ")[0]
+    return None if name in ("MODIFIER", "FEMININE", "MASCULINE", "MICRO", "OHM") else name
 
 
 @lru_cache(maxsize=65536)
 def script_sets(token: str) -> tuple[frozenset[str], ...]:
-    """Resolved script set of every letter: its own script and those in which it has a look-alike."""
+    """Resolved script set of every letter: its own script, those written with it, those in which it has a look-alike; common and inherited signs have none."""
     out = []
     for ch in token:
         own = _script(ch)
-        sets = {own}
+        if own is None:
+            continue
+        sets = {own} | WRITTEN_WITH.get(own, set())
         if own == "LATIN":
             sets |= {s for s, looks in LIKE_LATIN.items() if ch in looks}
         elif ch in LATIN_OF:
             sets |= {"LATIN"} | {s for s, looks in LIKE_LATIN.items() if LATIN_OF[ch] in looks}
         out.append(frozenset(sets))
-    return tuple(out)
+    return tuple(out) or (frozenset(),)
 
 
 @lru_cache(maxsize=65536)
@@ -92,7 +106,9 @@ def consistent_spelling(token: str) -> str:
     if "LATIN" in shared:
         return "".join(LATIN_OF.get(c, c) for c in token)
     if shared:
-        script = min(shared)
+        # Of several the one most of its letters are in already.
+        own = [_script(c) for c in token]
+        script = min(shared, key=lambda x: (-own.count(x), x))
         looks = LIKE_LATIN.get(script, {})
         return "".join(c if _script(c) == script else looks.get(LATIN_OF.get(c, c), c) for c in token)
     return "".join(LATIN_OF.get(c, c) for c in token)
@@ -135,20 +151,38 @@ def normalised(df: DataFrame, column: str, to: str = "look") -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def same_look_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
-    """``(key_a, key_b)``, key_a < key_b, of values that are stored differently but look the same.
+def look_classes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key, stored, look, class_key)`` of the values whose look is stored in more than one form: one row per key and form.
 
-    Digests of 128 bits stand for the texts in the shuffle.  Only looks with more than one stored form
-    are joined.  Repeated rows count once; null keys and values, and values stored alike, give no pair.
-    A key with several values pairs by each, never with itself.
+    ``stored`` and ``look`` are digests of 128 bits of the value as stored and in its one form; ``class_key``
+    is the least key of the look.  Repeated rows count once; null keys and values are left out.  No texts
+    are shuffled, and values of a look meet by partial aggregation only.
     """
     rows = df.select(F.col(key).alias("key"), F.col(value).alias("value")).where("key is not null and value is not null")
     folded = rows.mapInPandas(_fold_batches, "key string, stored binary, look binary").distinct()
-    mixed = folded.groupBy("look").agg(F.min("stored").alias("one"), F.max("stored").alias("other")).where("one <> other").select("look")
-    some = folded.join(mixed, "look", "left_semi")
-    a = some.select("look", F.col("key").alias("key_a"), F.col("stored").alias("stored_a"))
-    b = some.select("look", F.col("key").alias("key_b"), F.col("stored").alias("stored_b"))
-    return a.join(b, "look").where("key_a < key_b and stored_a <> stored_b").select("key_a", "key_b").distinct()
+    mixed = folded.groupBy("look").agg(F.min("stored").alias("one"), F.max("stored").alias("other"), F.min("key").alias("class_key")).where("one <> other").select("look", "class_key")
+    return folded.join(mixed, "look").select("key", "stored", "look", "class_key")
+
+
+def same_look_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
+    """``(key_a, key_b)``, key_a < key_b, of values that are stored differently but look the same.
+
+    The classes of ``look_classes`` written out in pairs, form by form, so that copies of one form never
+    meet each other.  A key with several values pairs by each, never with itself.
+    """
+    members = look_classes(df, key, value).select("key", "stored", "look")
+    forms = members.select("look", "stored").distinct()
+    met = forms.select("look", F.col("stored").alias("one")).join(forms.select("look", F.col("stored").alias("other")), "look").where("one < other")
+    a = members.select("look", F.col("stored").alias("one"), F.col("key").alias("a"))
+    b = members.select("look", F.col("stored").alias("other"), F.col("key").alias("b"))
+    return met.join(a, ["look", "one"]).join(b, ["look", "other"]).where("a <> b").select(F.least("a", "b").alias("key_a"), F.greatest("a", "b").alias("key_b")).distinct()
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose text looks like another's that is stored differently: one row per record with its class and the forms in it."""
+    classes = look_classes(table(spark, sf_dir, "records"), "key", "text")
+    forms = classes.select("class_key", "stored").distinct().groupBy("class_key").agg(F.count("*").alias("forms"))
+    return classes.select("key", "class_key").distinct().join(forms, "class_key").select(F.col("key").alias("record_key"), "class_key", "forms")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

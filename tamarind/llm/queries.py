@@ -8,6 +8,7 @@ QUERIES = {
     "p1_found": gazetteer.p1_found,
     "p2_found": personal.p2_found,
     "p3_found": lookalike.p3_found,
+    "p3_classes": lookalike.p3_classes,
     "p4_found": language.p4_found,
     "p5_found": components.p5_found,
     "p8_packed": packing.p8_packed,

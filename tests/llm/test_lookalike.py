@@ -2,14 +2,14 @@ import unicodedata
 
 import pytest
 
-from tamarind.llm.lookalike import look_form, normalised, same_look_pairs
+from tamarind.llm.lookalike import look_classes, look_form, normalised, same_look_pairs, script_sets
 
 
 @pytest.mark.parametrize(
     ("a", "b"),
     [
         ("Land", "Lаnd"), ("KIP", "ΚΙΡ"), ("ＡＢ１", "AB1"), ("ban​kok", "bankok"), ("a b", "a b"), ("é", "é"), ("ນ້ຳ", "ນໍ້າ"), ("ແກ້ວ", "ເເກ້ວ"), ("แดง", "เเดง"), ("น้ำ", "นํ้า"),
-        ("LS‑7", "LS-7"), ("ph­on", "phon"), ("ວຽງ﻿", "ວຽງ"), ("АВС", "ABC"), ("🙏️", "🙏"), ("ໜອງ", "ຫນອງ"),
+        ("LS‑7", "LS-7"), ("ph­on", "phon"), ("ວຽງ﻿", "ວຽງ"), ("АВС", "ABC"), ("ρaypal", "paypal"), ("τest", "test"), ("ⅼogin", "login"), ("ɑpple", "apple"), ("𝐁𝐚𝐧𝐤", "Bank"), ("ꓡꓮꓠꓓ", "LAND"), ("Ⅻ", "XII"), ("🙏️", "🙏"), ("ໜອງ", "ຫນອງ"),
     ],
 )
 def test_same_look(a, b):
@@ -26,6 +26,18 @@ def test_words_of_another_script_stay():
     assert unicodedata.normalize("NFC", look_form("")) == ""
 
 
+def test_resolved_script_sets():
+    assert script_sets("漢か") == (frozenset({"CJK", "JAPANESE", "KOREAN", "BOPOMOFO"}), frozenset({"HIRAGANA", "JAPANESE"}))
+    assert script_sets("e\u0301") == script_sets("e") and "CYRILLIC" in script_sets("e")[0]  # a mark is inherited
+    assert look_form("καλημέρα") == "καλημέρα" and look_form("λόγοs") == look_form("λόγοѕ")
+
+
+def test_classes(spark):
+    df = spark.createDataFrame([("k2", "Land"), ("k1", "Lаnd"), ("k3", "Land"), ("k4", "Sea"), ("k5", None)], "key string, text string")
+    got = look_classes(df, "key", "text").collect()
+    assert {(r["key"], r["class_key"]) for r in got} == {("k1", "k1"), ("k2", "k1"), ("k3", "k1")} and len({r["stored"] for r in got}) == 2
+
+
 def test_pairs(spark):
     rows = [("k1", "Land", 1), ("k2", "Lаnd", 2), ("k3", "Land", 3), ("k3", "Land", 3), ("k4", None, 4), (None, "Lаnd", 5), ("k5", "", 6), ("k6", "Sea", 7), ("k7", "x" * 40000 + "é", 8), ("k8", "x" * 40000 + "é", 9)]
     df = spark.createDataFrame(rows, "key string, text string, look int")
