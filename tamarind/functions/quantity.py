@@ -1,8 +1,8 @@
 """Quantities in free text: number and unit grammar over exponent vectors.
 
 A measured value is parsed into a :class:`Quantity`: an exact rational in base
-units (metre, month, kip or foreign money) with an exponent vector over the
-dimensions ``(length, time, money)``.  Units carry a scale and an offset to
+units (metre, month, kip or foreign money, kilogram, kelvin) with an exponent
+vector over ``(length, time, money, mass, temperature)``.  Units carry a scale and an offset to
 their base unit.  The grammar, over tokens found by longest match:
 
     quantity := sum [per unit]...           "3 rai 20 wa", "5 lan kip / m2"
@@ -22,16 +22,16 @@ from dataclasses import dataclass
 from fractions import Fraction
 from functools import lru_cache
 
-LENGTH, TIME, MONEY = (1, 0, 0), (0, 1, 0), (0, 0, 1)
-AREA = (2, 0, 0)
-NONE = (0, 0, 0)
+Dims = tuple[int, int, int, int, int]
+LENGTH, TIME, MONEY, MASS, TEMPERATURE = ((0,) * k + (1,) + (0,) * (4 - k) for k in range(5))
+AREA, VOLUME = (2, 0, 0, 0, 0), (3, 0, 0, 0, 0)
 
 
 @dataclass(frozen=True)
 class Unit:
     """A unit: exponent vector, scale and offset to the base unit, currency if money."""
 
-    dims: tuple[int, int, int]
+    dims: Dims
     scale: Fraction
     offset: Fraction = Fraction(0)
     currency: str | None = None
@@ -48,7 +48,9 @@ WA = _u(LENGTH, "2", either=True)
 SQM, SQFT, SQKM, SQCM = _u(AREA, "1"), _u(AREA, "0.09290304"), _u(AREA, "1000000"), _u(AREA, "0.0001")
 HECTARE, RAI, NGAN, SQWA, ACRE = (_u(AREA, s) for s in ("10000", "1600", "400", "4", "4046.8564224"))
 MONTH, YEAR = _u(TIME, "1"), _u(TIME, "12")
-KIP, BAHT, DOLLAR = (_u(MONEY, 1, currency=c) for c in ("LAK", "THB", "USD"))
+KIP, BAHT, DOLLAR, EURO, POUND, YUAN, DONG, YEN = (_u(MONEY, 1, currency=c) for c in ("LAK", "THB", "USD", "EUR", "GBP", "CNY", "VND", "JPY"))
+GRAM, KILOGRAM, TONNE, LITRE = _u(MASS, "0.001"), _u(MASS, "1"), _u(MASS, "1000"), _u(VOLUME, "0.001")
+KELVIN, CELSIUS, FAHRENHEIT = _u(TEMPERATURE, "1"), _u(TEMPERATURE, "1", offset=Fraction("273.15")), _u(TEMPERATURE, Fraction(5, 9), offset=Fraction("459.67") * Fraction(5, 9))
 
 # Fixed vocabulary: spellings of each unit, after NFKC, lower case and digit folding.
 UNIT_WORDS: dict[Unit, str] = {
@@ -75,6 +77,9 @@ UNIT_WORDS: dict[Unit, str] = {
     KIP: "lak kip kips kíp kip. ₭ ກີບ กีบ 基普",
     BAHT: "thb baht bahts bath bạt ฿ ບາດ บาท 泰铢 铢",
     DOLLAR: "usd us$ $ dollar dollars dola dolla đô_la đô đôla ໂດລາ ໂດລ້າ ໂດລາສະຫະລັດ ดอลลาร์ ดอลล่าร์ ดอลล่า 美元 美金",
+    EURO: "eur euro euros € ເອີໂຣ ยูโร 欧元", POUND: "gbp £ 英镑", YUAN: "cny rmb yuan ຢວນ หยวน 人民币", DONG: "vnd ₫ đồng", YEN: "jpy yen ¥ 日元",
+    GRAM: "g gram grams gramme grammes 克", KILOGRAM: "kg kgs kilo kilos kilogram kilograms ກິໂລກຣາມ กิโลกรัม กก 公斤", TONNE: "tonne tonnes ton tons ໂຕນ 吨", LITRE: "l litre litres liter liters ລິດ ลิตร 升",
+    KELVIN: "kelvin", CELSIUS: "°c celsius ℃ 摄氏度", FAHRENHEIT: "°f fahrenheit ℉",
 }
 SCALE_WORDS: dict[Fraction, str] = {
     Fraction(1_000): "k thousand phan pan nghìn ngàn mille ພັນ พัน 千",
@@ -174,7 +179,7 @@ class Quantity:
     """Value in base units, exponent vector, currency, and whether a scale word was stated."""
 
     value: Fraction
-    dims: tuple[int, int, int]
+    dims: Dims
     currency: str | None = None
     scaled: bool = False
     per: Unit | None = None
@@ -199,7 +204,7 @@ def _factors(toks):
             while j < len(toks) and toks[j][0] == "SCALE":
                 scale, scaled, j = scale * toks[j][1], True, j + 1
             unit = None
-            if j < len(toks) and toks[j][0] == "UNIT" and not toks[j][1].dims[1] and not (j + 1 < len(toks) and toks[j + 1][0] == "EACH" and toks[j][1].currency is None):
+            if j < len(toks) and toks[j][0] == "UNIT" and toks[j][1].dims != TIME and not (j + 1 < len(toks) and toks[j + 1][0] == "EACH" and toks[j][1].currency is None):
                 unit, j = toks[j][1], j + 1
             terms.append([v * scale, scaled, unit, times])
             i, times = j, False
@@ -207,12 +212,12 @@ def _factors(toks):
         if kind == "TIMES":
             times = True
         elif kind == "UNIT":
-            (money if v.currency else pers if v.dims[1] else money).append(v)
+            (money if v.currency else pers if v.dims == TIME else money).append(v)
         i += 1
     return terms, pers, money
 
 
-def parse(text: str | None, want: tuple[int, int, int]) -> Quantity | None:
+def parse(text: str | None, want: Dims) -> Quantity | None:
     """Quantity of ``text`` read towards the dimensions ``want``; None where it holds no number.
 
     A unit that names both a length and an area, and a bare length where an area is wanted, are
@@ -245,9 +250,20 @@ def parse(text: str | None, want: tuple[int, int, int]) -> Quantity | None:
             per = SQWA if u.either else SQM if u.dims == LENGTH and u.scale == 1 else u
             break
         return Quantity(total, MONEY, currency, any(t[1] for t in terms), per)
+    # Lengths of falling units are one length: "5 feet 3 inches".
+    joined: list = []
+    for term in terms:
+        own, last = term[2], joined[-1][2] if joined else None
+        if not term[3] and own is not None and last is not None and own.dims == last.dims == LENGTH and own.scale < last.scale and term[0] * own.scale < last.scale:
+            joined[-1] = [joined[-1][0] + term[0] * own.scale / last.scale, joined[-1][1], last, joined[-1][3], True]
+        else:
+            joined.append([*term, False])
+    terms = joined
+    if want == AREA and len(terms) == 1 and terms[0][4]:
+        return None  # a length of two units is no area
     value, dims, i = Fraction(0), None, 0
     while i < len(terms):
-        v, _scaled, unit, _times = terms[i]
+        v, _scaled, unit, _times, _two = terms[i]
         if i + 1 < len(terms) and terms[i + 1][3]:
             unit = unit or terms[i + 1][2] or (loose[0] if loose else METRE)
             other = terms[i + 1][2] or unit

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from fractions import Fraction
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamarind.functions import quantity as q
@@ -49,11 +50,15 @@ def convert_price(text, amount, currency, basis, rates) -> tuple[str, int | None
     return unit, q.half_even(value * rate / (per.scale if per else 1))
 
 
-def common_units(field, text, amount, currency, basis, thb, usd) -> tuple[str | None, int | None]:
-    """Dispatch by claim field; unknown fields give (None, None), amounts beyond bigint give None."""
+@lru_cache(maxsize=65536)
+def _rates(text: str | None) -> dict[str, Fraction]:
+    return {c: Fraction(r) for c, r in json.loads(text).items()} if text else {}
+
+
+def common_units(field, text, amount, currency, basis, rates) -> tuple[str | None, int | None]:
+    """Dispatch by claim field; unknown fields give (None, None), amounts beyond bigint give None; ``rates`` is JSON."""
     if field == "PRICE":
-        rates = {"THB": None if thb is None else Fraction(thb), "USD": None if usd is None else Fraction(usd)}
-        unit, value = convert_price(text, amount, currency, basis, rates)
+        unit, value = convert_price(text, amount, currency, basis, _rates(rates))
     elif field in SIZE_FIELDS:
         unit, value = convert_size(field, text)
     else:
@@ -63,23 +68,22 @@ def common_units(field, text, amount, currency, basis, thb, usd) -> tuple[str |
 
 def _convert_batches(batches):
     for x in batches:
-        rows = [common_units(*(None if v is None or v != v else v for v in row)) for row in x[["field", "value_text", "amount", "currency", "basis", "thb", "usd"]].itertuples(index=False, name=None)]
+        rows = [common_units(*(None if v is None or v != v else v for v in row)) for row in x[["field", "value_text", "amount", "currency", "basis", "rates"]].itertuples(index=False, name=None)]
         yield frame(claim_id=x["claim_id"].to_numpy(), unit=[r[0] for r in rows], amount=[r[1] for r in rows])
 
 
 def rates_by_day(fx: DataFrame) -> DataFrame:
-    """One row per calendar day with the last THB and USD rates on or before it.
+    """``(rate_date, rates)``: one row per calendar day with the last rate of every currency on or before it, as JSON.
 
     ``fx`` is a fixed reference table of days; its size grows with the calendar alone.  Of rows of
     one currency and day the largest source name counts.
     """
-    from pyspark.sql import Window
-
-    daily = fx.where("currency is not null and rate_date is not null and lak_per_unit is not null").groupBy("rate_date").agg(
-        *(F.max_by("lak_per_unit", F.when(F.col("currency") == c, F.coalesce("source", F.lit("")))).alias(c.lower()) for c in ("THB", "USD")))
-    days = daily.agg(F.explode(F.sequence(F.min("rate_date"), F.max("rate_date"))).alias("rate_date"))
-    back = Window.orderBy("rate_date").rowsBetween(Window.unboundedPreceding, 0)
-    return days.join(daily, "rate_date", "left").select("rate_date", *(F.last(c, ignorenulls=True).over(back).alias(c) for c in ("thb", "usd")))
+    known = fx.where("currency is not null and rate_date is not null and lak_per_unit is not null").groupBy("currency", "rate_date").agg(F.max_by("lak_per_unit", F.coalesce("source", F.lit(""))).alias("rate"))
+    days = known.agg(F.min("rate_date").alias("a"), F.max("rate_date").alias("b"), F.collect_set("currency").alias("c"))
+    days = days.select(F.explode(F.sequence("a", "b")).alias("rate_date"), "c").select("rate_date", F.explode("c").alias("currency"))
+    back = Window.partitionBy("currency").orderBy("rate_date").rowsBetween(Window.unboundedPreceding, 0)
+    filled = days.join(known, ["currency", "rate_date"], "left").withColumn("rate", F.last("rate", ignorenulls=True).over(back)).where("rate is not null")
+    return filled.groupBy("rate_date").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("currency", F.col("rate").cast("string"))))).alias("rates"))
 
 
 def quantities_in_common_units(claims: DataFrame, prices: DataFrame, fx: DataFrame) -> DataFrame:
@@ -93,10 +97,11 @@ def quantities_in_common_units(claims: DataFrame, prices: DataFrame, fx: DataFra
     day = F.to_date(F.to_utc_timestamp(F.coalesce("post_date", "observed_at"), F.current_timezone()))  # the UTC day in any session
     price = prices.where("claim_id is not null").groupBy("claim_id").agg(F.min(F.struct("price_observation_id", "amount_original", "currency_original", "price_basis", day.alias("day"))).alias("p")).select("claim_id", "p.*")
     rates = rates_by_day(fx)
-    last = rates.agg(F.max("rate_date").alias("last_day"))
-    price = price.crossJoin(F.broadcast(last)).withColumn("rate_date", F.least("day", "last_day")).join(F.broadcast(rates), "rate_date", "left")
+    last = fx.where("currency is not null and lak_per_unit is not null").agg(F.max("rate_date")).first()[0]  # one date
+    # A row a calendar day, whatever the claims: 30 years are some 11 000 rows.
+    price = price.withColumn("rate_date", F.least("day", F.lit(last).cast("date"))).join(F.broadcast(rates), "rate_date", "left")
     both = one.join(price, "claim_id", "left").where("field <> 'PRICE' or price_observation_id is not null")
-    texts = both.select("claim_id", "field", "value_text", *(F.col(c).cast("string").alias(n) for c, n in (("amount_original", "amount"), ("currency_original", "currency"), ("price_basis", "basis"), ("thb", "thb"), ("usd", "usd"))))
+    texts = both.select("claim_id", "field", "value_text", *(F.col(c).cast("string").alias(n) for c, n in (("amount_original", "amount"), ("currency_original", "currency"), ("price_basis", "basis"), ("rates", "rates"))))
     return texts.mapInPandas(_convert_batches, "claim_id long, unit string, amount long")
 
 

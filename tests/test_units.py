@@ -18,7 +18,7 @@ RATES = {"THB": Fraction(700), "USD": Fraction(20000)}
         ("AREA", "14 × 34 ມ", 47600), ("AREA", "23 mx10 m", 23000), ("AREA", "47 metresx16 metres", 75200), ("AREA", "461,36 square metres", 46136), ("AREA", "໒,໗໗໐ຕລມ", 277000),
         ("AREA", "5-2-30 ໄຮ່", 892000), ("AREA", "24 rai 3 ngan 35 wa", 3974000), ("AREA", "512 wa", 204800), ("AREA", "40 acres", 16187426), ("AREA", "1,200 ft²", 11148), ("AREA", "9 岸 9 平方哇", 363600),
         ("AREA", "0.6 เฮกตาร์", 600000), ("AREA", "xx", None), ("AREA", "", None), ("AREA", None, None), ("FRONTAGE", "0.08 km", 8000), ("FRONTAGE", "໘໒໐ ຊັງຕີແມັດ", 820), ("DEPTH", "53,5 ແມັດ", 5350),
-        ("DEPTH", "36 ວາ", 7200), ("DEPTH", "178 ft", 5425), ("FRONTAGE", "1 700 cm", 1700),
+        ("AREA", "5 feet 3 inches", None), ("AREA", "12 ft 6 in x 30 ft".replace(" in ", " inches "), 3484), ("FRONTAGE", "5 feet 3 inches", 160), ("DEPTH", "2 m 40 cm", 240), ("FRONTAGE", "12 kg", None), ("AREA", "5 zorks", None), ("DEPTH", "36 ວາ", 7200), ("DEPTH", "178 ft", 5425), ("FRONTAGE", "1 700 cm", 1700),
     ],
 )
 def test_sizes(field, text, amount):
@@ -31,13 +31,19 @@ def test_sizes(field, text, amount):
         ("672ພັນ ໂດລາ", ("1", "LAK", "TOTAL"), ("LAK", 13_440_000_000)), ("3.050.000 baht", ("3050.00", "THB", "TOTAL"), ("LAK", 2_135_000_000)), ("₭3,300,000 ຕໍ່ຕາແມັດ", (None, None, None), ("LAK_PER_SQM", 3_300_000)),
         ("1.42 tỷ/rai", (None, "LAK", None), ("LAK_PER_SQM", 887_500)), ("9 nghìn USD mỗi năm", (None, None, "TOTAL"), ("LAK_PER_MONTH", 15_000_000)), ("ປີລະ 135 ລ້ານ ກີບ", (None, None, None), ("LAK_PER_MONTH", 11_250_000)),
         ("18 ล้าน 1 แสน บาท", (None, None, None), ("LAK", 12_670_000_000)), ("13200000", ("13200000", "THB", "PER_MONTH"), ("LAK_PER_MONTH", 9_240_000_000)), ("$525 monthly", ("525", "UNKNOWN", None), ("LAK_PER_MONTH", 10_500_000)),
-        (None, ("5", "LAK", "UNKNOWN"), ("LAK", 5)), ("5 ກີບ", (None, None, None), ("LAK", 5)), ("5", (None, "EUR", None), ("LAK", None)), ("900", ("900000.00", "LAK", "PER_SQM"), ("LAK_PER_SQM", 900_000)),
+        (None, ("5", "LAK", "UNKNOWN"), ("LAK", 5)), ("5 ກີບ", (None, None, None), ("LAK", 5)), ("5", (None, "EUR", None), ("LAK", None)), ("1,200 EUR", ("1200", "LAK", "TOTAL"), ("LAK", None)), ("£5 per month", (None, "LAK", None), ("LAK_PER_MONTH", None)), ("10 kg rice", (None, "LAK", None), ("LAK", None)), ("900", ("900000.00", "LAK", "PER_SQM"), ("LAK_PER_SQM", 900_000)),
     ],
 )
 def test_prices(text, observed, want):
     assert convert_price(text, *observed, RATES) == want
 
 
+@pytest.mark.parametrize(("text", "want", "value"), [("25 °C", q.TEMPERATURE, "298.15"), ("77 °F", q.TEMPERATURE, "298.15"), ("300 kelvin", q.TEMPERATURE, "300"), ("2 tonnes 5 kg", q.MASS, "2005"), ("250 ml 3 litres", q.VOLUME, "0.003"), ("5 kg", q.TEMPERATURE, None)])
+def test_other_dimensions_and_offsets(text, want, value):
+    got = q.parse(text, want)
+    assert (got and got.value) == (None if value is None else Fraction(value))
+
+
 @given(st.integers(0, 10**12))
 def test_grouped_numbers_round_trip(n):
     assert q.parse_number(f"{n:,}") == n
