@@ -2,31 +2,40 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarind.functions.frames import frame
 
-#: What a merge keeps of each column: the last value that is not null, the last array that is not empty, the greatest, the first.
-LAST = "permalink container_id container_name container_type matched_via url_hash author_name author_id author_hash author_url text lang reactions_total comments_count shares_count views_count parser_version payload_hash content_hash".split()
+#: What a merge keeps of a column: the last array that is not empty, the greatest value, the first that is not null; of all others the last value that is not null.
 FILLED = "matched_keywords media hashtags".split()
-GREATEST = "match_score captured_at".split()
-FIRST = "created_at".split()
+GREATEST = "match_score captured_at sightings".split()
+FIRST = "platform post_id created_at".split()
+#: Made by the merge itself, and added up, or kept, when its result is merged again.
+COUNTED = "capture_count first_seen first_payload_hash".split()
 
 
 def merged_records(rows: DataFrame, key: str = "key", order: list[str] | None = None) -> DataFrame:
-    """One row per key in the order of arrival; columns missing in ``rows`` are passed over.
+    """One row per key in the order of arrival, with all columns of ``rows`` and the counters of ``COUNTED``.
 
     A partial aggregation before the shuffle merges within a task, so a key with many copies costs
-    one row per task.  Null keys are dropped.
+    one row per task.  Null keys are dropped.  Rows may themselves be merged ones: counts add up.
     """
-    have = set(rows.columns)
-    at = F.struct(*(F.col(c) for c in order or ["captured_at", "payload_hash"]))
-    made = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in LAST if c in have]
+    have, order = set(rows.columns), order or [c for c in ("captured_at", "payload_hash") if c in rows.columns]
+    at = F.struct(*(F.col(c) for c in order))
+    last = [c for c in rows.columns if c not in {key, *FILLED, *GREATEST, *FIRST, *COUNTED, *(c for c in order if c.startswith("_"))}]
+    made = [F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in last]
     made += [F.max_by(c, F.when(F.size(c) > 0, at)).alias(c) for c in FILLED if c in have]
     made += [F.max(c).alias(c) for c in GREATEST if c in have]
     made += [F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in FIRST if c in have]
-    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*made, F.count("*").alias("capture_count"), F.min("captured_at").alias("first_seen"))
+    if "payload_hash" in have:
+        digest = F.coalesce(*(F.col(c) for c in ("first_payload_hash", "payload_hash") if c in have))
+        made.append(F.min_by(digest, F.when(digest.isNotNull(), at)).alias("first_payload_hash"))
+    count = F.sum(F.coalesce("capture_count", F.lit(1).cast("long"))) if "capture_count" in have else F.count("*")
+    seen = F.coalesce("first_seen", "captured_at") if "first_seen" in have else F.col("captured_at")
+    return rows.where(F.col(key).isNotNull()).groupBy(key).agg(*made, count.alias("capture_count"), F.min(seen).alias("first_seen"))
 
 
 def upserted(current: DataFrame, arrived: DataFrame, key: str = "key") -> DataFrame:
@@ -35,6 +44,27 @@ def upserted(current: DataFrame, arrived: DataFrame, key: str = "key") -> DataFr
     return merged_records(both, key, ["_late", "captured_at"])
 
 
+def appended(stored: DataFrame, arrived: DataFrame, on: list[str], first_by: list[str]) -> DataFrame:
+    """The stored rows and those of a batch whose identity was not stored yet; an append that may be run again."""
+    return stored.unionByName(new_only(stored, arrived, on, first_by), allowMissingColumns=True)
+
+
+def merged_state(stored: DataFrame, arrived: DataFrame, on: list[str]) -> DataFrame:
+    """A keyed state after a batch: keys of either side once, values of the batch where it has one, else the stored ones.
+
+    Adds ``change``: ``inserted``, ``updated``, ``kept`` (in both, nothing differs) or ``missing`` (not in the batch).
+    Each side holds a key at most once; null keys are equal to nulls.
+    """
+    values = [c for c in stored.columns if c not in on]
+    s, a = stored.alias("s"), arrived.alias("a")
+    held, came = s.withColumn("_s", F.lit(True)).alias("s"), a.withColumn("_a", F.lit(True)).alias("a")
+    joined = held.join(came, [F.col(f"s.{c}").eqNullSafe(F.col(f"a.{c}")) for c in on], "full")
+    both = F.col("_s").isNotNull() & F.col("_a").isNotNull()
+    differs = reduce(lambda x, y: x | y, [F.col(f"a.{c}").isNotNull() & ~F.col(f"a.{c}").eqNullSafe(F.col(f"s.{c}")) for c in values], F.lit(False))
+    change = F.when(F.col("_s").isNull(), "inserted").when(F.col("_a").isNull(), "missing").when(both & differs, "updated").otherwise("kept")
+    return joined.select(*(F.when(F.col("_s").isNull(), F.col(f"a.{c}")).otherwise(F.col(f"s.{c}")).alias(c) for c in on), *(F.coalesce(f"a.{c}", f"s.{c}").alias(c) for c in values), change.alias("change"))
+
+
 def new_only(stored: DataFrame, arrived: DataFrame, on: list[str], first_by: list[str]) -> DataFrame:
     """Rows of a batch whose identity is not stored yet, the first of each identity; nulls are equal to nulls."""
     w = Window.partitionBy(*on).orderBy(*first_by)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tamarind.functions import text as x
 from tamarind.functions import urls
 from tamarind.operators import joins, merge, similar
+from tamarind.operators.quantiles import exact_quantile
 from tamarind.session import cut, table
 from tamarind.streaming import capture
 
@@ -104,14 +105,56 @@ def verified_bodies(s, d):
 # --- merges and windows ------------------------------------------------------------------------------------------
 
 
-@query("k6_merged_records", """
-    SELECT key, max(captured_at) AS captured_at, max(match_score) AS match_score, min(captured_at) AS first_seen, count(*) AS capture_count,
-           arg_max(text, (captured_at, payload_hash)) FILTER (text IS NOT NULL) AS text, arg_max(reactions_total, (captured_at, payload_hash)) FILTER (reactions_total IS NOT NULL) AS reactions_total,
-           arg_min(created_at, (captured_at, payload_hash)) FILTER (created_at IS NOT NULL) AS created_at, len(arg_max(media, (captured_at, payload_hash)) FILTER (len(media) > 0)) AS media
+_K6_LAST = "record_type parent_post_id permalink container_id container_name container_type matched_via url_hash author_name author_id author_hash author_url text lang reactions_total comments_count shares_count views_count parser_version payload_hash content_hash sighting_context".split()
+
+
+@query("k6_merged_records", f"""
+    SELECT key, max(captured_at) AS captured_at, max(match_score) AS match_score, max(sightings) AS sightings, min(captured_at) AS first_seen, count(*) AS capture_count,
+           {", ".join(f"arg_max({c}, (captured_at, payload_hash)) FILTER ({c} IS NOT NULL) AS {c}" for c in _K6_LAST)},
+           {", ".join(f"arg_min({c}, (captured_at, payload_hash)) FILTER ({c} IS NOT NULL) AS {c}" for c in ("platform", "post_id", "created_at"))},
+           arg_min(payload_hash, (captured_at, payload_hash)) FILTER (payload_hash IS NOT NULL) AS first_payload_hash,
+           {", ".join(f"array_to_string(arg_max({c}, (captured_at, payload_hash)) FILTER (len({c}) > 0), '|') AS {c}" for c in ("matched_keywords", "hashtags"))},
+           cardinality(arg_max(reactions_breakdown, (captured_at, payload_hash)) FILTER (reactions_breakdown IS NOT NULL))::INT AS reactions_breakdown,
+           len(arg_max(media, (captured_at, payload_hash)) FILTER (len(media) > 0))::INT AS media
     FROM records GROUP BY key""")
 def merged_records(s, d):
     (r,) = _t(s, d, "records")
-    return merge.merged_records(r).select("key", "captured_at", "match_score", "first_seen", "capture_count", "text", "reactions_total", "created_at", F.when(F.col("media").isNotNull(), F.size("media")).alias("media"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).alias(c)
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    merged = merge.merged_records(r)
+    shown = {"media": size, "reactions_breakdown": size, "matched_keywords": joined, "hashtags": joined}
+    return merged.select(*(shown.get(c, F.col)(c) for c in merged.columns))
+
+
+def _halves(s, d):
+    """All events, the first and the second half by order of arrival."""
+    (e,) = _t(s, d, "capture_events")
+    middle = (e.agg(F.max("id")).first()[0] or 0) // 2  # one number
+    return e.where(F.col("id") <= middle), e.where(F.col("id") > middle)
+
+
+@query("k10_appended_events", """
+    SELECT id, record_key, payload_hash, captured_at FROM (
+        SELECT *, row_number() OVER (PARTITION BY record_key, payload_hash, captured_at ORDER BY late, id) AS n, late AS part
+        FROM (SELECT *, CASE WHEN id <= (SELECT max(id) // 2 FROM capture_events) THEN 0 ELSE 1 END AS late FROM capture_events)) WHERE part = 0 OR n = 1""")
+def appended_events(s, d):
+    """The first half to arrive is stored as it is; of the second half, each new identity comes once."""
+    stored, arrived = _halves(s, d)
+    columns = ["id", "record_key", "payload_hash", "captured_at"]
+    return merge.appended(stored.select(*columns), arrived.select(*columns), columns[1:], ["id"])
+
+
+@query("k14_merged_state", """
+    WITH c AS (SELECT record_key, payload_hash, id <= (SELECT max(id) // 2 FROM capture_events) AS stored FROM capture_events WHERE record_key IS NOT NULL),
+    s AS (SELECT record_key, count(*) AS seen, max(payload_hash) AS digest FROM c WHERE stored GROUP BY record_key),
+    a AS (SELECT record_key, count(*) AS seen, max(payload_hash) AS digest FROM c WHERE NOT stored GROUP BY record_key)
+    SELECT coalesce(a.record_key, s.record_key) AS record_key, coalesce(a.seen, s.seen) AS seen, coalesce(a.digest, s.digest) AS digest,
+           CASE WHEN s.record_key IS NULL THEN 'inserted' WHEN a.record_key IS NULL THEN 'missing' WHEN a.seen <> s.seen OR (a.digest IS NOT NULL AND a.digest IS DISTINCT FROM s.digest) THEN 'updated' ELSE 'kept' END AS change
+    FROM s FULL JOIN a ON s.record_key = a.record_key""")
+def merged_state(s, d):
+    """The state of the keys of the first half to arrive, after the second half."""
+    state = lambda e: e.where("record_key is not null").groupBy("record_key").agg(F.count("*").alias("seen"), F.max("payload_hash").alias("digest"))
+    return merge.merged_state(*map(state, _halves(s, d)), ["record_key"])
 
 
 @query("k7_events_once", "SELECT record_key, payload_hash, captured_at, min(id) AS id, count(*) AS copies FROM capture_events GROUP BY record_key, payload_hash, captured_at")
@@ -170,10 +213,14 @@ def running_bytes(s, d):
 
 @query("w8_last_post_before", "SELECT key, last_value(CASE WHEN record_type = 'post' THEN key END IGNORE NULLS) OVER (PARTITION BY container_id ORDER BY captured_at, key, payload_hash ROWS UNBOUNDED PRECEDING) AS last_post FROM records WHERE container_id IS NOT NULL AND record_type IS NOT NULL")
 def last_post_before(s, d):
-    """The post last seen in the same container before each record."""
+    """The post last seen in the same container before each record; a container is worked off by days."""
     (r,) = _t(s, d, "records")
-    w = Window.partitionBy("container_id").orderBy("captured_at", "key", "payload_hash").rowsBetween(Window.unboundedPreceding, 0)
-    return r.where("container_id is not null and record_type is not null").select("key", F.last(F.when(F.col("record_type") == "post", F.col("key")), ignorenulls=True).over(w).alias("last_post"))
+    order = ["captured_at", "key", "payload_hash"]
+    rows = r.where("container_id is not null and record_type is not null").select("container_id", *order, F.to_date("captured_at").alias("day"), F.when(F.col("record_type") == "post", F.col("key")).alias("post"))
+    inside = F.last("post", ignorenulls=True).over(Window.partitionBy("container_id", "day").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    days = rows.groupBy("container_id", "day").agg(F.max_by("post", F.when(F.col("post").isNotNull(), F.struct(*order))).alias("of_day"))
+    before = days.withColumn("before", F.last("of_day", ignorenulls=True).over(Window.partitionBy("container_id").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).drop("of_day")
+    return rows.withColumn("inside", inside).join(before.withColumnRenamed("day", "d2").withColumnRenamed("container_id", "c2"), (F.col("container_id") == F.col("c2")) & F.col("day").eqNullSafe(F.col("d2"))).select("key", F.coalesce("inside", "before").alias("last_post"))
 
 
 @query("k3_first_push", """
@@ -184,8 +231,9 @@ def first_push(s, d, most_bytes=4_000, most_rows=25):
     (r,) = _t(s, d, "records")
     w = Window.partitionBy("container_id").orderBy("captured_at", "key", "payload_hash").rowsBetween(Window.unboundedPreceding, 0)
     rows = r.where(F.col("text").isNotNull() & F.col("container_id").isNotNull()).withColumn("bytes", F.octet_length("text").cast("long")).where(F.col("bytes") <= most_bytes)
-    made = rows.withColumn("running", F.sum("bytes").over(w)).withColumn("n", F.count("*").over(w))
-    return made.where((F.col("running") <= most_bytes) & (F.col("n") <= most_rows)).select("key", "payload_hash", "captured_at", "running")
+    # The first rows of each container are cut out before the shuffle; only these are added up.
+    first = merge.latest(rows, ["container_id"], [F.col(c) for c in ("captured_at", "key", "payload_hash")], most_rows)
+    return first.withColumn("running", F.sum("bytes").over(w)).where(F.col("running") <= most_bytes).select("key", "payload_hash", "captured_at", "running")
 
 
 @query("k3_pushes")
@@ -456,6 +504,14 @@ def reconcile(s, d):
     return a.join(b, F.col("a") == F.col("b"), "full_outer").where("a is null or b is null").select(F.coalesce("a", "b").alias("k"), F.col("a").isNull().alias("only_events"), F.col("b").isNull().alias("only_records"))
 
 
+@query("full_outer_extraction", "SELECT coalesce(r.k, o.k) AS k, r.k IS NULL AS only_observed, o.k IS NULL AS only_recorded, o.n AS observations FROM (SELECT DISTINCT key AS k FROM records) r FULL OUTER JOIN (SELECT record_key AS k, count(*) AS n FROM observations GROUP BY 1) o ON r.k = o.k")
+def extraction_state(s, d):
+    """Every record and every observed key, with its observations; many records have none yet."""
+    r, o = _t(s, d, "records", "observations")
+    a, b = r.select(F.col("key").alias("a")).distinct(), o.groupBy(F.col("record_key").alias("b")).agg(F.count("*").alias("observations"))
+    return a.join(b, F.col("a") == F.col("b"), "full_outer").select(F.coalesce("a", "b").alias("k"), F.col("a").isNull().alias("only_observed"), F.col("b").isNull().alias("only_recorded"), "observations")
+
+
 # --- aggregates --------------------------------------------------------------------------------------------------
 
 
@@ -503,7 +559,11 @@ def amount_statistics(s, d):
     """Least, greatest, exact median and latest amount per asset type, currency and basis."""
     p, o = _t(s, d, "price_observations", "observations")
     rows = p.join(o.select("observation_id", "asset_type"), "observation_id").select("price_observation_id", "asset_type", "currency_original", "price_basis", F.col("amount_original").cast("double").alias("amount"), "observed_at").distinct()
-    return rows.groupBy("asset_type", "currency_original", "price_basis").agg(F.count("*").alias("n"), F.min("amount").alias("least"), F.max("amount").alias("greatest"), F.round(F.median("amount"), 2).alias("median"), F.max_by("amount", F.struct("observed_at", "price_observation_id")).alias("latest"))
+    by = ["asset_type", "currency_original", "price_basis"]
+    rows = cut(rows)
+    simple = rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("amount").alias("least"), F.max("amount").alias("greatest"), F.max_by("amount", F.struct("observed_at", "price_observation_id")).alias("latest"))
+    middle = exact_quantile(rows, by, "amount", 0.5, "median").select(*(F.col(c).alias(f"_{c}") for c in by), F.round("median", 2).alias("median"))
+    return simple.join(middle, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by], "left").drop(*(f"_{c}" for c in by))
 
 
 @query("a13_p95_delay", "SELECT ingest_source, round(quantile_cont(epoch(e.captured_at - r.first), 0.95), 3) AS p95 FROM capture_events e JOIN (SELECT record_key, min(captured_at) AS first FROM capture_events GROUP BY 1) r USING (record_key) GROUP BY 1")
@@ -511,7 +571,8 @@ def p95_delay(s, d):
     (e,) = _t(s, d, "capture_events")
     first = e.groupBy("record_key").agg(F.min("captured_at").alias("first"))
     late = (F.unix_micros("captured_at") - F.unix_micros("first")) / 1e6
-    return e.join(first, "record_key").groupBy("ingest_source").agg(F.round(F.percentile(late, 0.95), 3).alias("p95"))
+    delays = e.join(first, "record_key").select("ingest_source", late.alias("late"))
+    return exact_quantile(delays, ["ingest_source"], "late", 0.95, "p95").select("ingest_source", F.round("p95", 3).alias("p95"))
 
 
 @query("a16_rules_of_records", "SELECT record_a, string_agg(DISTINCT rule, ',' ORDER BY rule) AS rules, count(*) AS edges FROM cluster_edges WHERE record_a IS NOT NULL GROUP BY record_a")
@@ -594,10 +655,10 @@ def comment_like_post(s, d):
     """Likeness of comments to their posts by character trigrams."""
     (r,) = _t(s, d, "records")
     made = r.where("text is not null").select("key", "record_type", "platform", "post_id", "parent_post_id", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", "").alias("t")).distinct()
-    made = made.withColumn("g", x.grams(F.col("t"))).drop("t")
     c, p = made.where("record_type = 'comment'"), made.where("record_type = 'post'")
-    both = c.select(F.col("key").alias("comment"), "platform", F.col("parent_post_id").alias("post_id"), F.col("g").alias("gc")).join(p.select(F.col("key").alias("post"), "platform", "post_id", F.col("g").alias("gp")), ["platform", "post_id"])
-    return both.select("comment", "post", F.round(x.jaccard(F.col("gc"), F.col("gp")), 6).alias("jaccard"))
+    # Texts are moved, not their trigrams, which are several times as large; these are cut in one Arrow pass afterwards.
+    both = c.select(F.col("key").alias("comment"), "platform", F.col("parent_post_id").alias("post_id"), F.col("t").alias("tc")).join(p.select(F.col("key").alias("post"), "platform", "post_id", F.col("t").alias("tp")), ["platform", "post_id"])
+    return both.select("comment", "post", F.round(x.gram_jaccard("tc", "tp"), 6).alias("jaccard"))
 
 
 @query("x14_masked_contacts", "SELECT DISTINCT claim_id, CASE WHEN length(value_text) > 6 THEN substring(value_text, 1, 4) || repeat('X', length(value_text) - 6) || right(value_text, 2) ELSE repeat('X', length(value_text)) END AS mask FROM claims WHERE field = 'CONTACT' AND value_text IS NOT NULL")

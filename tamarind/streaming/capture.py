@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamarind.operators.merge import upserted
+from tamarind.operators.merge import merged_records, upserted
 
 
 def _watermarked(events: DataFrame, time: str, late: str | None) -> DataFrame:
@@ -60,16 +60,25 @@ def stateful_sightings(events: DataFrame) -> DataFrame:
     return events.groupBy("record_key").applyInPandasWithState(decide, "record_key string, captured_at timestamp, decision string", "last string, seen array<string>", "append", "NoTimeout")
 
 
-def merge_into(path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges records into versions under ``path``; a batch written before is passed over."""
+def merge_into(path: str, keep: int = 3) -> Callable[[DataFrame, int], None]:
+    """A batch function that merges records into versions under ``path``; a batch written before is passed over.
+
+    Each version is the whole table after its batch.  A batch goes on from the last complete version
+    before it, whatever its number, so batches may be numbered with gaps.  Older versions than the
+    last ``keep`` are removed once a new one is complete.
+    """
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        target, before = f"{path}/batch={number}", f"{path}/batch={number - 1}"
         where = spark._jvm.org.apache.hadoop.fs.Path
         fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
-        if fs.exists(where(f"{target}/_SUCCESS")):
+        names = [s.getPath().getName() for s in fs.listStatus(where(path))] if fs.exists(where(path)) else []
+        done = sorted(int(n[6:]) for n in names if n.startswith("batch=") and n[6:].isdigit() and fs.exists(where(f"{path}/{n}/_SUCCESS")))
+        if number in done:
             return
-        stored = spark.read.parquet(before) if fs.exists(where(f"{before}/_SUCCESS")) else batch.limit(0)
-        upserted(stored.select(*[c for c in batch.columns if c in stored.columns]), batch).write.mode("overwrite").parquet(target)
+        before = [n for n in done if n < number]
+        merged = upserted(spark.read.parquet(f"{path}/batch={before[-1]}"), batch) if before else merged_records(batch)
+        merged.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        for old in before[: max(0, len(before) - keep)]:
+            fs.delete(where(f"{path}/batch={old}"), True)
 
     return apply

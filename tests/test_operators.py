@@ -127,12 +127,26 @@ def test_windows_on_a_stream_are_those_of_the_table(spark, tmp_path, sf_dir):
 
 
 def test_merge_into_versions(spark, tmp_path):
-    schema = "key string, text string, captured_at timestamp, payload_hash string"
+    schema = "key string, platform string, text string, captured_at timestamp, payload_hash string, match_score int, extra string"
+    rows = [("a", "p", "1", at(5), "x", 1, None), ("a", None, "2", at(6), "y", 3, "e"), ("b", "q", "3", at(7), "z", 1, None), ("a", "p", None, at(8), "w", 2, None)]
+    frames = [spark.createDataFrame(part, schema) for part in (rows[:1], rows[1:3], rows[3:])]
     apply = capture.merge_into(str(tmp_path / "t"))
-    apply(spark.createDataFrame([("a", "1", at(0), "x")], schema), 0)
-    apply(spark.createDataFrame([("a", "2", at(1), "y"), ("b", "3", at(1), "z")], schema), 1)
-    apply(spark.createDataFrame([("a", "again", at(2), "y")], schema), 1)  # a batch that comes again
-    assert {r["key"]: r["text"] for r in spark.read.parquet(str(tmp_path / "t" / "batch=1")).collect()} == {"a": "2", "b": "3"}
+    for part, number in zip(frames, (0, 1, 5)):  # a gap before the last
+        apply(part, number)
+    apply(frames[1], 1)  # a batch that comes again
+    got = {r["key"]: r.asDict() for r in spark.read.parquet(str(tmp_path / "t" / "batch=5")).collect()}
+    assert got == {r["key"]: r.asDict() for r in merge.merged_records(spark.createDataFrame(rows, schema)).collect()}
+    assert got["a"] == {"key": "a", "platform": "p", "text": "2", "captured_at": at(8), "payload_hash": "w", "match_score": 3, "extra": "e", "capture_count": 3, "first_seen": at(5), "first_payload_hash": "x"}
+    for number in (6, 7, 8):
+        apply(frames[0].limit(0), number)
+    assert sorted(p.name for p in (tmp_path / "t").glob("batch=*")) == ["batch=5", "batch=6", "batch=7", "batch=8"]
+
+
+def test_appends_and_states(spark):
+    s = spark.createDataFrame([(1, "a", None), (2, "b", "x"), (3, "c", "y")], "k int, v string, w string")
+    a = spark.createDataFrame([(2, None, "x"), (3, "d", None), (4, "e", "z"), (4, "e", "z")], "k int, v string, w string")
+    assert sorted((r["k"], r["v"]) for r in merge.appended(s, a, ["k"], ["v"]).collect()) == [(1, "a"), (2, "b"), (3, "c"), (4, "e")]
+    assert {tuple(r) for r in merge.merged_state(s, a.distinct(), ["k"]).collect()} == {(1, "a", None, "missing"), (2, "b", "x", "kept"), (3, "d", "y", "updated"), (4, "e", "z", "inserted")}
 
 
 # --- joins
