@@ -83,6 +83,10 @@ def ngrams(sentences: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets[order], np.searchsorted(owner[order], np.arange(len(sentences)))
 
 
+#: Temperature at which the sentences of a text are labelled together; the confidences have the calibrated one.
+PATH_TEMPERATURE = 0.22
+
+
 @dataclass
 class LanguageModel:
     """IDF per bucket, weights per bucket and language, intercepts, temperature."""
@@ -173,22 +177,32 @@ def fit(rows: list[tuple[str, str]], *, alpha: float = 0.5, beta: float = 1.0, l
         logp[judged] = judge.log_probabilities([texts[i] for i in judged])
     keep = np.flatnonzero(logp[np.arange(len(texts)), labels] > math.log(0.2))
     model = train(keep if len(keep) else np.arange(len(texts)))
-    if len(keep):
-        scores = logp[keep]
+    # All held-out rows set the temperature, those with a contradicted label too: a label is taken to be wrong as often as they are.
+    wrong = 1 - len(keep) / len(texts)
 
-        def loss(t):
-            s = scores / t
-            s = s - s.max(1, keepdims=True)
-            return float((np.log(np.exp(s).sum(1)) - s[np.arange(len(keep)), labels[keep]]).mean())
+    def loss(t):
+        s = logp / t
+        s = s - s.max(1, keepdims=True)
+        p = np.exp(s[np.arange(len(texts)), labels]) / np.exp(s).sum(1)
+        return -float(np.log((1 - wrong) * p + wrong / k).mean())
 
-        model.temperature = float(min(np.geomspace(0.1, 5, 40), key=loss))
+    model.temperature = float(min(np.geomspace(0.1, 5, 40), key=loss))
     return model
 
 
-def segments(parts: list[tuple[str, int]], logp: np.ndarray) -> list[tuple[str, float]]:
-    """Languages of the segments of one text, in order, each with its confidence."""
+def sharpened(logp: np.ndarray, by: float) -> np.ndarray:
+    """Logarithms of probabilities at a temperature that is lower by a factor."""
+    s = logp * by
+    s = s - s.max(axis=1, keepdims=True)
+    return s - np.log(np.exp(s).sum(axis=1, keepdims=True))
+
+
+def segments(parts: list[tuple[str, int]], logp: np.ndarray, sharpen: float = 1.0) -> list[tuple[str, float]]:
+    """Languages of the segments of one text, in order, each with its calibrated confidence; the best path takes sharpened ones."""
     weights = [min(1.0, n / FULL_WEIGHT) if n >= 3 else 0.0 for _, n in parts]
-    if not parts or not any(weights):
+    if not any(weights):  # only very short sentences: all of them count
+        weights = [min(1.0, n / FULL_WEIGHT) for _, n in parts]
+    if not any(weights):
         return []
     best = logp.argmax(axis=1)
     sure = {int(b) for b, w in zip(best, weights) if w}
@@ -196,7 +210,7 @@ def segments(parts: list[tuple[str, int]], logp: np.ndarray) -> list[tuple[str,
         path = [sure.pop()] * len(parts)
     else:
         score, back = np.zeros(len(LANGUAGES)), []
-        for w, row in zip(weights, logp):
+        for w, row in zip(weights, sharpened(logp, sharpen)):
             moved = score.max() - CHANGE
             back.append(np.where(score >= moved, np.arange(len(LANGUAGES)), score.argmax()))
             score = np.maximum(score, moved) + w * np.maximum(row, -12.0)
@@ -235,7 +249,7 @@ def languages_of(records: DataFrame, model: LanguageModel, key: str = "key", tex
             logp = model.log_probabilities(list(distinct))
             rows = []
             for k, l, parts in zip(keys, labels, own):
-                for no, (lang, p) in enumerate(segments(parts, logp[[distinct[s] for s, _ in parts]])):
+                for no, (lang, p) in enumerate(segments(parts, logp[[distinct[s] for s, _ in parts]], model.temperature / PATH_TEMPERATURE)):
                     rows.append((k, no, lang, p, l))
             columns = ("record_key", "segment_no", "lang", "confidence", "label")
             yield frame(**{c: [r[i] for r in rows] for i, c in enumerate(columns)})
