@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamarind.functions.frames import frame
-from tamarind.session import table
+from tamarind.session import cut, table
 
 # Letters that look like a Latin letter, by script.
 CYRILLIC_LOOKS = dict(zip("АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝҮүӏ", "ABESIJKMHOPCTYXaesijopcyxhdqwYyl"))
@@ -170,7 +170,7 @@ def same_look_pairs(df: DataFrame, key: str, value: str) -> DataFrame:
     The classes of ``look_classes`` written out in pairs, form by form, so that copies of one form never
     meet each other.  A key with several values pairs by each, never with itself.
     """
-    members = look_classes(df, key, value).select("key", "stored", "look")
+    members = cut(look_classes(df, key, value).select("key", "stored", "look"))  # only looks with several forms: few rows
     forms = members.select("look", "stored").distinct()
     met = forms.select("look", F.col("stored").alias("one")).join(forms.select("look", F.col("stored").alias("other")), "look").where("one < other")
     a = members.select("look", F.col("stored").alias("one"), F.col("key").alias("a"))
