@@ -86,20 +86,20 @@ class ItemBlocks:
         """Rows ``(item, start, end)`` of passages in a shard's signs, in which 0 parts the texts."""
         index = FMIndex(np.where(text == 0, 0, classes(text)))
         low, high = index.search(self.phrases)
-        hits = high - low
-        total = int((hits * self.count).sum())
-        if not total:
+        hit = np.repeat(np.arange(len(low)), high - low)
+        if not len(hit):
             return np.zeros((0, 3), dtype=np.int64)
+        rows = np.arange(len(hit)) + np.repeat(low - (np.cumsum(high - low) - (high - low)), high - low)
         # Diagonals (item, position of its first sign), made in parts of bounded size; a repeated sign hits often, but on few of them.
         parts: list[np.ndarray] = []
-        for k in np.flatnonzero(hits):
-            own = self.places[self.first[k] : self.first[k + 1]]
-            step = max(1, AT_ONCE // len(own))
-            for at in range(int(low[k]), int(high[k]), step):
-                position = index.locate(np.arange(at, min(at + step, int(high[k]))))
-                parts.append(np.unique((own[None, :, 0] << 40) + (position[:, None] - own[None, :, 1] + AWAY)))
-                if len(parts) > 64:
-                    parts = [np.unique(np.concatenate(parts))]
+        made = np.cumsum(self.count[hit])
+        for at in np.split(np.arange(len(hit)), np.flatnonzero(np.diff(made // AT_ONCE)) + 1):
+            n = self.count[hit[at]]
+            which = np.repeat(self.first[hit[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            item, offset = self.places[which].T
+            parts.append(np.unique((item << 40) + (np.repeat(index.locate(rows[at]), n) - offset + AWAY)))
+            if len(parts) > 64:
+                parts = [np.unique(np.concatenate(parts))]
         found = []
         for diagonal in np.unique(np.concatenate(parts)).tolist():
             item, shift = diagonal >> 40, (diagonal & (1 << 40) - 1) - AWAY
