@@ -104,9 +104,10 @@ def ear_clip(rings) -> list[tuple] | None:
         if joined is None:
             return None
         outer = joined
-    ring, out = list(outer), []
+    ring, out, begin = list(outer), [], 0
     while len(ring) > 3:
-        for i in range(len(ring)):
+        for step in range(len(ring)):
+            i = (begin + step) % len(ring)  # goes on beside the last ear
             a, b, c = ring[i - 1], ring[i], ring[(i + 1) % len(ring)]
             turn = _cross(a, b, c)
             if turn < 0 or turn == 0 and a != c and b not in (a, c):
@@ -116,6 +117,7 @@ def ear_clip(rings) -> list[tuple] | None:
             if turn > 0:
                 out.append((a, b, c))
             ring.pop(i)
+            begin = max(i - 1, 0)
             break
         else:
             # Only points on straight edges are left to cut; else the rings cross.

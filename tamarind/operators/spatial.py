@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,8 +12,8 @@ from tamarind.functions import geometry as g
 from tamarind.functions.frames import frame
 from tamarind.session import table
 
-#: Regions that one pass broadcasts; a larger gazetteer is worked off in passes over blocks of it.
-REGIONS_PER_PASS = 20_000
+#: Regions, and signs of their geometries, that one pass broadcasts; a larger gazetteer is worked off in passes over blocks of it.
+REGIONS_PER_PASS, SIGNS_PER_PASS = 20_000, 64_000_000
 
 
 class RegionIndex:
@@ -103,27 +105,43 @@ def regions_of_points(points: DataFrame, regions: DataFrame, *, key: str, lat: s
     """
     spark = points.sparkSession
     rows = regions.where("code is not null").select("code", "centroid_lat", "centroid_lng", "geom_geojson").orderBy("code")
-    blocks = [[]]
-    for r in rows.toLocalIterator():
-        if len(blocks[-1]) >= REGIONS_PER_PASS:
-            blocks.append([])
-        blocks[-1].append(tuple(r))
+
+    def blocks():
+        block, size = [], 0
+        for r in rows.toLocalIterator():
+            if block and (len(block) >= REGIONS_PER_PASS or size + len(r[3] or "") > SIGNS_PER_PASS):
+                yield block
+                block, size = [], 0
+            block.append(tuple(r))
+            size += len(r[3] or "")
+        yield block
+
     kind = dict(points.dtypes)[key]
     placed = points.select(F.col(key), F.col(lat).cast("double").alias("_lat"), F.col(lng).cast("double").alias("_lng")).where("_lat is not null and _lng is not null and not isnan(_lat) and not isnan(_lng)")
-    out = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(block)
+    out, passes = None, 0
+    for block in blocks():
+        shared, mark, passes = spark.sparkContext.broadcast(block), uuid4().hex, passes + 1
 
-        def relate(batches, shared=shared):
-            index = None
+        def relate(batches, shared=shared, mark=mark):
             for b in batches:
-                index = index or RegionIndex(shared.value, near_m)
+                index = _index(mark, shared, near_m)
                 point, region, inside = index.find(b["_lng"].to_numpy(), b["_lat"].to_numpy())
                 yield frame(**{key: b[key].to_numpy()[point]}, village_code=[index.codes[r] for r in region], relation=["INSIDE" if i else "NEAR" for i in inside])
 
         made = placed.mapInPandas(relate, f"`{key}` {kind}, village_code string, relation string")
         out = made if out is None else out.unionByName(made)
-    return out.distinct() if len(blocks) > 1 else out
+    return out.distinct() if passes > 1 else out
+
+
+_INDEXES: dict[str, RegionIndex] = {}
+
+
+def _index(mark: str, shared, near_m: float) -> RegionIndex:
+    """The hierarchy of a block, built once in each worker."""
+    if mark not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[mark] = RegionIndex(shared.value, near_m)
+    return _INDEXES[mark]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
