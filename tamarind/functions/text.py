@@ -116,6 +116,23 @@ def simhash(column: Column) -> Column:
     return F.pandas_udf(_simhash, "long")(column)
 
 
+def _utf16_slice(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    out = []
+    for t, a, b in zip(texts, starts, ends):
+        if t is None or a != a or b != b or a is None or b is None:
+            out.append(None)
+            continue
+        s = unicodedata.normalize("NFC", t)
+        a, b = max(0, int(a)), max(0, int(b))
+        out.append(s[a:b] if s.isascii() or max(s) <= "\uffff" else s.encode("utf-16-le", "surrogatepass")[2 * a : 2 * b].decode("utf-16-le", "replace"))
+    return pd.Series(out, dtype=object)
+
+
+def utf16_slice(text: str | Column, start: str | Column, end: str | Column) -> Column:
+    """The part of a text's NFC form between two offsets in UTF-16 units; a split sign gives a replacement sign; null where any is null."""
+    return F.pandas_udf(_utf16_slice, "string")(text, start, end)
+
+
 def truncated(column: Column, most: int) -> Column:
     """The longest beginning of a text of at most ``most`` UTF-8 bytes; no sign is split."""
     ends = [F.substring(F.encode(column, "UTF-8"), 1, max(0, most - k)).cast("string") for k in range(4)]

@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Parameters that never say which page is meant.
+# Parameters that never say which page is meant, by name and by beginning.
 TRACKING = "fbclid mibextid rdid paipv notif_t notif_id ref refid refsrc hc_ref source utm_source utm_medium utm_campaign utm_term utm_content _rdr eav av comment_tracking ft lst".split()
-TRACKING_PREFIXES = ["__cft__", "__tn__", "acontext"]
+TRACKING_PREFIXES = ["__cft__", "__tn__", "__so__", "acontext"]
+# Address shapes that name a post, and the platform; a shape with a parameter is looked for in the query.
+POST_SHAPES = [
+    ("facebook", r"^https://[^/]+\.facebook\.com/groups/[^/]+/(?:posts|permalink)/(\d+)/"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/groups/[^/?]+/\?(?:.*&)?multi_permalinks=(\d+)"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/[^/?]+/(?:posts|videos|photos)/(?:[^/?]+/)?(\d+)/"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/(?:reel|watch/live|share/p)/(\d+)/"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/(?:permalink\.php|story\.php)/\?(?:.*&)?story_fbid=(\d+)"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/(?:photo\.php|photo)/\?(?:.*&)?fbid=(\d+)"),
+    ("facebook", r"^https://[^/]+\.facebook\.com/watch/\?(?:.*&)?v=(\d+)"),
+    ("tiktok", r"^https://[^/]+\.tiktok\.com/(?:@[^/]+/(?:video|photo)|v|embed(?:/v2)?)/(\d+)(?:\.html)?/"),
+]
 
 
 def page_address(url: Column) -> Column:
@@ -16,7 +27,7 @@ def page_address(url: Column) -> Column:
     Text that is no web address is trimmed and kept; null stays null.
     """
     u = F.trim(url)
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#]*)", 1)), r"^(m|web)\.", "www.")
+    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^https?://([^/?#]*)", 1)), r"^(?:(?:m|web|mbasic|touch|business)\.|(?=(?:facebook|tiktok)\.com$))", "www.")
     path = F.regexp_replace(F.concat(F.regexp_extract(u, r"^https?://[^/?#]*([^?#]*)", 1), F.lit("/")), r"/+$", "/")
     path = F.regexp_replace(path, r"^/groups/(\d+)/(?:posts|permalink)/(\d+).*$", "/groups/$1/posts/$2/")
     pairs = F.filter(
@@ -27,13 +38,39 @@ def page_address(url: Column) -> Column:
     return F.when(u.rlike(r"^https?://[^/?#]+"), F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))).otherwise(u)
 
 
+# Shapes of one post's address, and the one they are brought to; the query is sorted by then.
+ONE_SHAPE = [
+    (r"^(https://[^/]+)/groups/([^/]+)/(?:posts|permalink)/(\d+)/.*$", "$1/groups/$2/posts/$3/"),
+    (r"^(https://[^/]+)/groups/([^/]+)/\?(?:.*&)?multi_permalinks=(\d+).*$", "$1/groups/$2/posts/$3/"),
+    (r"^(https://[^/]+)/(?:permalink|story)\.php/\?(?:.*&)?id=(\d+)(?:&.*)?&story_fbid=(\w+).*$", "$1/permalink.php/?id=$2&story_fbid=$3"),
+    (r"^(https://[^/]+)/photo(?:\.php)?/\?(?:.*&)?fbid=(\d+).*$", "$1/photo/?fbid=$2"),
+    (r"^(https://[^/]+)/(?:watch/\?(?:.*&)?v=|watch/live/\?(?:.*&)?v=|[^/?]+/videos/(?:[^/?]+/)?)(\d+).*$", "$1/watch/?v=$2"),
+    (r"^(https://[^/]+/[^/?]+/posts/[^?]+)\?.*$", "$1"),
+    (r"^(https://[^/]+/share/[^?]+)\?.*$", "$1"),
+    (r"^(https://[^/]+/@[^/]+/(?:video|photo)/\d+/).*$", "$1"),
+    (r"^(https://(?:fb\.watch|v[mt]\.tiktok\.com)/[^?]+)\?.*$", "$1"),
+]
+
+
+def permalink(url: Column) -> Column:
+    """The one address of a post that is written in several ways; other addresses as ``page_address`` has them."""
+    out = page_address(url)
+    for shape, to in ONE_SHAPE:
+        out = F.regexp_replace(out, shape, to)
+    return out
+
+
+def targets_of(page: Column) -> Column:
+    """All targets that may lead to a page: the page itself and what stands before each slash of its path."""
+    parts = F.split(F.regexp_replace(page, "/+$", ""), "/")
+    return F.transform(F.sequence(F.lit(3), F.greatest(F.size(parts), F.lit(3))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+
+
 def post_of(url: Column) -> Column:
-    """``platform:post`` of an address that names a post; null for others."""
+    """``platform:post`` of an address that names a post, whatever its shape; null for others."""
     u = page_address(url)
-    group = F.regexp_extract(u, r"^https://[^/]+/groups/[^/]+/posts/(\d+)/", 1)
-    video = F.regexp_extract(u, r"^https://[^/]+/@[^/]+/video/(\d+)", 1)
-    story = F.regexp_extract(u, r"[?&]story_fbid=(\d+)", 1)
-    return F.when(group != "", F.concat(F.lit("facebook:"), group)).when(video != "", F.concat(F.lit("tiktok:"), video)).when(story != "", F.concat(F.lit("facebook:"), story))
+    found = [(platform, F.regexp_extract(u, shape, 1)) for platform, shape in POST_SHAPES]
+    return F.coalesce(*(F.when(post != "", F.concat(F.lit(f"{platform}:"), post)) for platform, post in found))
 
 
 def sighting_context(page_url: Column, container: Column) -> Column:

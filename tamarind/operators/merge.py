@@ -86,6 +86,22 @@ def sightings(events: DataFrame, key: str = "record_key", digest: str = "payload
     return made.withColumn("decision", decision).drop("_n", "_before", "_seen")
 
 
+def after(rows: DataFrame, order: list[str], last: tuple | None, page: int) -> DataFrame:
+    """The next page of rows behind the ``last`` values of ``order``, read by key and not by offset; ``page`` from 1 to 1 000."""
+    if not 1 <= page <= 1_000:
+        raise ValueError("a page holds 1 to 1 000 rows")
+    if last is not None:
+        rows = rows.where(F.struct(*order) > F.struct(*(F.lit(v).alias(c) for c, v in zip(order, last))))
+    return rows.orderBy(*order).limit(page)
+
+
+def purged(rows: DataFrame, time: str, before: Column, guards: DataFrame, key: str = "key") -> tuple[DataFrame, DataFrame]:
+    """Rows that stay and keys that go: a key goes if its last row is older than ``before`` and it is not among ``guards``."""
+    old = rows.groupBy(key).agg(F.max(time).alias("_last")).where(F.col("_last") < before).select(key)
+    gone = old.join(guards.select(key).distinct(), key, "left_anti")
+    return rows.join(gone, key, "left_anti"), gone
+
+
 def latest(rows: DataFrame, by: list[str], order: list[Column], keep: int = 1) -> DataFrame:
     """The first ``keep`` rows of each group; the limit is pushed below the shuffle by the planner."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_n") <= keep).drop("_n")

@@ -497,6 +497,59 @@ def page_targets(s, d):
     return e.where(t != "").groupBy(t.alias("target")).agg(F.count("*").alias("events"), F.countDistinct("record_key").alias("records"))
 
 
+@query("j24_target_pages", """
+    WITH t AS (SELECT DISTINCT regexp_extract(permalink, '^https://[^/]+/groups/[^/?#]+') AS target FROM records WHERE permalink LIKE 'https://%/groups/%'
+               UNION SELECT DISTINCT regexp_extract(page_url, '^https://[^/]+/market') FROM capture_events WHERE page_url LIKE 'https://%/market%'),
+         p AS (SELECT regexp_replace(page_url, '/+$', '') AS page, count(*) AS n FROM capture_events WHERE page_url LIKE 'https://%' GROUP BY 1)
+    SELECT target, count(*) AS pages, sum(n)::BIGINT AS events FROM t JOIN p ON page = target OR starts_with(page, target || '/') WHERE target <> '' GROUP BY target""")
+def target_pages(s, d):
+    """Pages that are a target or lie below one; targets are the groups of the records and the market pages.  Every beginning of a page is looked up, so the join is an equality."""
+    r, e = _t(s, d, "records", "capture_events")
+    groups = r.where("permalink like 'https://%/groups/%'").select(F.regexp_extract("permalink", "^https://[^/]+/groups/[^/?#]+", 0).alias("target"))
+    markets = e.where("page_url like 'https://%/market%'").select(F.regexp_extract("page_url", "^https://[^/]+/market", 0).alias("target"))
+    pages = e.where("page_url like 'https://%'").groupBy(F.regexp_replace("page_url", "/+$", "").alias("page")).agg(F.count("*").alias("n"))
+    below = pages.select("page", "n", F.explode(urls.targets_of(F.col("page"))).alias("target"))
+    return groups.union(markets).where("target <> ''").distinct().join(below, "target").groupBy("target").agg(F.count("*").alias("pages"), F.sum("n").alias("events"))
+
+
+@query("x5_claim_slices", """
+    SELECT claim_id, substring(nfc_normalize(text), span_start + 1, span_end - span_start) AS slice
+    FROM (SELECT DISTINCT claim_id, observation_id, span_start, span_end FROM claims) c JOIN (SELECT DISTINCT observation_id, record_key FROM observations) o USING (observation_id)
+    JOIN (SELECT key, min(text) AS text FROM records WHERE text IS NOT NULL GROUP BY key) r ON r.key = o.record_key WHERE NOT regexp_matches(text, '[\\x{10000}-\\x{10FFFF}]')""")
+def claim_slices(s, d):
+    """The text that each claim's span marks, for texts whose UTF-16 units are their code points, as SQL can cut only these."""
+    return all_claim_slices(s, d).where(~F.col("text").rlike(r"[\x{10000}-\x{10FFFF}]")).select("claim_id", "slice")
+
+
+@query("x5_all_claim_slices")
+def all_claim_slices(s, d):
+    """The text that each claim's span marks, in UTF-16 units of the composed text."""
+    c, o, r = _t(s, d, "claims", "observations", "records")
+    texts = r.where("text is not null").groupBy(F.col("key").alias("record_key")).agg(F.min("text").alias("text"))
+    marked = c.select("claim_id", "observation_id", "span_start", "span_end").distinct().join(o.select("observation_id", "record_key").distinct(), "observation_id").join(texts, "record_key")
+    return marked.select("claim_id", x.utf16_slice("text", "span_start", "span_end").alias("slice"), "text")
+
+
+@query("t8_purged", """
+    WITH old AS (SELECT key FROM records GROUP BY key HAVING max(captured_at) < TIMESTAMP '2025-01-01'),
+    gone AS (SELECT key FROM old WHERE key NOT IN (SELECT record_key FROM observations WHERE record_key IS NOT NULL))
+    SELECT key, captured_at, payload_hash FROM records WHERE key IS NULL OR key NOT IN (SELECT key FROM gone WHERE key IS NOT NULL)""")
+def purged(s, d, before="2025-01-01"):
+    """The records that stay when those past their retention are removed."""
+    r, o = _t(s, d, "records", "observations")
+    stays, _ = merge.purged(r, "captured_at", F.lit(before).cast("timestamp"), o.select(F.col("record_key").alias("key")))
+    return stays.select("key", "captured_at", "payload_hash")
+
+
+@query("s3_seen_since", "SELECT url_hash, max(captured_at) AS updated_at FROM records WHERE url_hash IS NOT NULL GROUP BY url_hash HAVING (max(captured_at), url_hash) > (TIMESTAMP '2025-06-01', '') ORDER BY updated_at, url_hash LIMIT 500")
+def seen_since(s, d, since="2025-06-01", page=500):
+    """Links seen since a time, a page of them (a paged list)."""
+    (r,) = _t(s, d, "records")
+    seen = r.where("url_hash is not null").groupBy("url_hash").agg(F.max("captured_at").alias("updated_at"))
+    start = s.sql(f"SELECT timestamp '{since}'").first()[0]
+    return merge.after(seen.select("updated_at", "url_hash"), ["updated_at", "url_hash"], (start, ""), page).select("url_hash", "updated_at")
+
+
 @query("full_outer_reconcile", "SELECT coalesce(r.k, e.k) AS k, r.k IS NULL AS only_events, e.k IS NULL AS only_records FROM (SELECT DISTINCT key AS k FROM records) r FULL OUTER JOIN (SELECT DISTINCT record_key AS k FROM capture_events) e ON r.k = e.k WHERE r.k IS NULL OR e.k IS NULL")
 def reconcile(s, d):
     r, e = _t(s, d, "records", "capture_events")
@@ -726,6 +779,20 @@ def parsed_payloads(s, d):
     return parsed_records(raw).select("key", "post_id", "text", "reactions_total", "comments_count")
 
 
+@query("s11_parsed_feed", "SELECT 'facebook:' || post_id AS key, text, reactions_total, comments_count, shares_count, container_id FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY captured_at, payload_hash, key) AS n FROM records WHERE post_id <> '' AND text <> '') WHERE n = 1")
+def parsed_feed(s, d):
+    """Feed payloads of stories written from the records of all platforms and parsed back."""
+    from tamarind.sources.payloads import parsed_records
+
+    (r,) = _t(s, d, "records")
+    one = merge.latest(r.where("post_id <> '' and text <> ''"), ["post_id"], [F.col("captured_at"), F.col("payload_hash"), F.col("key")])
+    named = lambda **x: F.struct(*(c.alias(n) for n, c in x.items()))
+    feedback = named(reaction_count=named(count=F.col("reactions_total")), comment_rendering_instance=named(comments=named(total_count=F.col("comments_count"))), share_count=named(count=F.col("shares_count")))
+    story = named(__typename=F.lit("Story"), post_id=F.col("post_id"), message=named(text=F.col("text")), to=named(__typename=F.lit("Group"), id=F.col("container_id")), feedback=feedback)
+    raw = one.select(F.to_json(named(data=named(node=story))).alias("body"), F.lit("https://www.facebook.com/groups/feed/").alias("page_url"))
+    return parsed_records(raw).select("key", "text", "reactions_total", "comments_count", "shares_count", "container_id")
+
+
 # --- event time --------------------------------------------------------------------------------------------------
 
 

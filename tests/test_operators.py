@@ -33,6 +33,41 @@ def test_addresses_of_one_page(spark, a, b):
     assert df.first()[0] == df.first()[1]
 
 
+POSTS = [
+    [f"https://www.facebook.com/groups/55/posts/901/{q}" for q in ("", "?fbclid=1", "?comment_id=4&notif_t=x")] + ["https://m.facebook.com/groups/55/permalink/901/?refid=1&__so__=2", "http://mbasic.facebook.com/groups/55/permalink/901/"],
+    ["https://www.facebook.com/permalink.php?story_fbid=77&id=8", "https://m.facebook.com/story.php?id=8&mibextid=q&story_fbid=77"],
+    ["https://www.facebook.com/shop/posts/31", "https://m.facebook.com/shop/posts/31/?locale=fr"],
+    ["https://www.facebook.com/photo/?fbid=61&set=a", "https://m.facebook.com/photo.php?fbid=61&id=3"],
+    ["https://www.facebook.com/watch/?v=12", "https://www.facebook.com/shop/videos/12/", "https://www.facebook.com/shop/videos/title/12/?x=1"],
+    ["https://www.tiktok.com/@u/video/5", "https://m.tiktok.com/@u/video/5?_r=1"],
+    ["https://www.facebook.com/share/p/Ab1/", "https://www.facebook.com/share/p/Ab1/?mibextid=x"], ["https://vt.tiktok.com/Zz1/", "https://vt.tiktok.com/Zz1?a=1"], ["https://www.facebook.com/shop/posts/pfbid0A/", "https://m.facebook.com/shop/posts/pfbid0A?x=1"],
+]
+NAMED = ["facebook:901", "facebook:77", "facebook:31", "facebook:61", "facebook:12", "tiktok:5", None, None, None]
+
+
+def test_addresses_of_one_post(spark):
+    df = spark.createDataFrame([(i, u) for i, group in enumerate(POSTS) for u in group], "i int, u string")
+    got = df.select("i", urls.permalink(F.col("u")).alias("p"), urls.post_of(F.col("u")).alias("id")).collect()
+    assert len({(r["i"], r["p"]) for r in got}) == len(POSTS) == len({r["p"] for r in got})
+    assert {(r["i"], r["id"]) for r in got} == set(enumerate(NAMED))
+    assert [r[0] for r in spark.createDataFrame([("https://a.b/c/d/",), ("https://a.b",)], "u string").select(urls.targets_of(F.col("u"))).collect()] == [["https://a.b", "https://a.b/c", "https://a.b/c/d"], ["https://a.b"]]
+
+
+def test_utf16_slices(spark):
+    rows = [("a🙏b ລາວ", 3, 4, "b"), ("🙏x", 0, 2, "🙏"), ("e\u0301x", 0, 1, "é"), ("abc", 1, 99, "bc"), ("abc", None, 2, None), (None, 0, 1, None), ("", 0, 5, "")]
+    df = spark.createDataFrame([r[:3] for r in rows], "t string, a int, b int")
+    assert [r[0] for r in df.select(text.utf16_slice("t", "a", "b")).collect()] == [r[3] for r in rows]
+
+
+def test_pages_and_purges(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2), ("d", 3)], "key string, t int")
+    assert [r["key"] for r in merge.after(df, ["t", "key"], (2, "b"), 2).collect()] == ["c", "d"] and merge.after(df, ["t", "key"], None, 10).count() == 4
+    with pytest.raises(ValueError):
+        merge.after(df, ["t"], None, 0)
+    stays, gone = merge.purged(df, "t", F.lit(3), df.where("key = 'b'"))
+    assert sorted(r["key"] for r in stays.collect()) == ["b", "d"] and sorted(r["key"] for r in gone.collect()) == ["a", "c"]
+
+
 def test_address_edges(spark):
     df = spark.createDataFrame([(" no address ", None), (None, "c1"), ("https://m.x.org/p/q/?a=1", ""), ("https://www.tiktok.com/@u/video/77?x=1", None)], "u string, c string")
     assert [r[0] for r in df.select(urls.page_address(F.col("u"))).collect()][:2] == ["no address", None]
