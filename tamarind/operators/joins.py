@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamarind.functions import text as x
+from tamarind.operators.groups import measured
 from tamarind.session import cut
 
 METRES_PER_DEGREE = 111_194.9
@@ -85,12 +88,13 @@ def best_children(children: DataFrame, parent: str, field: str, fields: list[str
 
 def walk(edges: DataFrame, starts: DataFrame, steps: int) -> DataFrame:
     """``(start, node, distance)`` of all nodes reached over directed edges ``(src, dst)`` in at most ``steps`` steps."""
-    reached = cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct())
-    frontier, out = reached, reached
+    edges, frontiers = cut(edges.select("src", "dst")), [cut(starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("distance")).distinct())]
     for k in range(1, steps + 1):
-        step = frontier.join(edges.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node"), F.lit(k).alias("distance")).distinct()
-        frontier = cut(step.join(out.select("start", "node"), ["start", "node"], "left_anti"))
-        if not frontier.limit(1).count():
+        step = frontiers[-1].join(edges.withColumnRenamed("src", "node"), "node").select("start", F.col("dst").alias("node"), F.lit(k).alias("distance")).distinct()
+        # Each frontier is written once; those before are read again, not written again.
+        before = reduce(DataFrame.unionByName, frontiers).select("start", "node")
+        frontier, figures = measured(step.join(before, ["start", "node"], "left_anti"))
+        if not figures["rows"]:
             break
-        out = cut(out.unionByName(frontier))
-    return out
+        frontiers.append(frontier)
+    return reduce(DataFrame.unionByName, frontiers)
